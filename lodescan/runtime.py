@@ -65,7 +65,7 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def table_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:

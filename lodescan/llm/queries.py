@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodescan.llm import q_distinct
+from lodescan.llm import q_distinct, q_lookalike, q_sampling
 
-_MODULES = (q_distinct,)
+_MODULES = (q_distinct, q_sampling, q_lookalike)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in _MODULES:

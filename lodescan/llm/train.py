@@ -1,4 +1,4 @@
-"""Fit the models that ship with this subpackage: python -m lodescan.llm.train DATA_DIR."""
+"""Fit the models that ship with this subpackage: python -m lodescan.llm.train DATA_DIR [language] [pii]."""
 
 from __future__ import annotations
 
@@ -6,18 +6,31 @@ import sys
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lodescan.llm import language
+from lodescan.llm import language, pii
 from lodescan.runtime import session, ship, table
 
+#: bounds of the samples the models are fitted on
+DOCUMENTS_PER_LANGUAGE, PII_TEXTS, PII_NAMES = 150, 3000, 20_000
 
-def main(sf_dir: str) -> None:
+
+def main(sf_dir: str, *what: str) -> None:
     spark = session(master="local[8]")
     ship(spark)
     here = Path(__file__).parent / "models"
     here.mkdir(exist_ok=True)
-    np.save(here / "language_prototypes.npy", language.train(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"))
+    if not what or "language" in what:
+        fitted = language.train(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", DOCUMENTS_PER_LANGUAGE)
+        np.save(here / "language_prototypes.npy", fitted)
+    if not what or "pii" in what:
+        cells = table(spark, sf_dir, "cells").where(F.col("cell_key").rlike(r"(^|\.)full_name$"))
+        names = cells.select("cell_value").orderBy(F.xxhash64("cell_id")).limit(PII_NAMES).toPandas()["cell_value"]
+        cases = table(spark, sf_dir, "accuracy_cases").select(F.coalesce("text", "notes").alias("t"), F.col("row_id").alias("i"))
+        blobs = table(spark, sf_dir, "text_blobs").select(F.col("text").alias("t"), F.col("blob_id").alias("i"))
+        texts = cases.unionByName(blobs).where("t is not null").orderBy(F.xxhash64("t", "i")).limit(PII_TEXTS).toPandas()["t"]
+        (here / "pii_crf.json").write_text(pii.fit(list(texts), pii.learn_lexicon(names)).to_json(), encoding="utf-8")
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(*sys.argv[1:])

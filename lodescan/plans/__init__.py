@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodescan.plans import nested
+from lodescan.plans import nested, pipeline
 
 
 def _merged(attribute: str) -> dict:
     out: dict = {}
-    for module in (nested,):
+    for module in (nested, pipeline):
         out |= getattr(module, attribute)
     return out
 

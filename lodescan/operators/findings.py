@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodescan.engine.policies import REQUIRED, with_policy
 from lodescan.engine.tiers import LIKELY, POSSIBLE, VERY_LIKELY, raised
-from lodescan.runtime import small
+from lodescan.runtime import checkpointed, small
 
 PAIR = ["unit_id", "column", "detector"]
 CELL = ["unit_id", "cell_id"]
@@ -299,10 +299,11 @@ def classify(
     rows = capped_by_context(rows)
     if unit_hints is not None:
         rows = hinted_by_unit(rows, unit_hints)
-    rows = corroborated_by_record(rows)
-    verdicts = column_verdicts(column_profiles(rows), sampled)
-    kept = without_losers(rows, verdicts)
+    # read by five operators below, each of them a shuffle: written once instead of computed five times
+    rows = checkpointed(corroborated_by_record(rows))
+    verdicts = checkpointed(column_verdicts(column_profiles(rows), sampled))
+    kept = checkpointed(without_losers(rows, verdicts))
     kept = promoted_by_columns(kept, verdicts, sibling_columns(rows, fields))
-    return distinct_findings(aggregated(at_least(kept, least_tier), verdicts, threshold))
+    return distinct_findings(aggregated(checkpointed(at_least(kept, least_tier)), verdicts, threshold))
 
 

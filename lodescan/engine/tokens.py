@@ -37,9 +37,13 @@ def vendor_formats() -> tuple[tuple[str, re.Pattern], ...]:
 
 @lru_cache(1)
 def vendor_gate() -> re.Pattern:
-    """One pattern that any vendor token contains: the longest literal run of each format."""
+    """One pattern that any vendor token contains: a literal run of each format, or of each of its beginnings."""
     parts = set()
     for _, pattern in vendor_formats():
+        choice = re.match(r"\\b\(\?:([A-Za-z|_]+)\)", pattern.pattern)
+        if choice:
+            parts |= set(choice.group(1).split("|"))
+            continue
         literal = re.search(r"[A-Za-z]{2,}[_.-]?[A-Za-z]*", re.sub(r"\(\?(?:i\)|:|=|<[=!]|!)|\[[^\]]*\]|\\.|\{[^}]*\}", " ", pattern.pattern))
         parts.add(re.escape(literal.group()) if literal else r"\d{8,}|[01]/\d{16}|[a-f0-9]{32}")
     return re.compile("|".join(sorted(parts)) + r"|[MN][A-Za-z\d]{23}|[5KL][HJK1-9A-HJ-NP-Za-km-z]{50}|[0-9a-f]{12}:fx|SK[0-9a-fA-F]{32}", re.I)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodescan.plans import nested, pipeline
+from lodescan.plans import nested, pipeline, values
 
 
 def _merged(attribute: str) -> dict:
     out: dict = {}
-    for module in (nested, pipeline):
+    for module in (nested, pipeline, values):
         out |= getattr(module, attribute)
     return out
 

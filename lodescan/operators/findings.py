@@ -133,7 +133,7 @@ def column_verdicts(profiles: DataFrame, sampled: DataFrame, ratio: float | None
     joined = with_policy(profiles.join(sampled, ["unit_id", "column"], "left").fillna(0, ["sampled"]))
     need = F.lit(least) if least is not None else F.col("policy.column_min_matches")
     floor = F.lit(ratio) if ratio is not None else F.col("policy.column_ratio")
-    share = F.when(F.col("policy.column_requires_validation"), F.col("validated")).otherwise(F.col("matches")) / F.col("sampled")
+    share = F.try_divide(F.when(F.col("policy.column_requires_validation"), F.col("validated")).otherwise(F.col("matches")), "sampled")
     yes = F.col("policy.column_classify") & (F.col("sampled") > 0) & (F.col("matches") >= need) & (F.col("distinct_values") >= need) & (share >= floor)
     return joined.withColumn("ratio", share).withColumn("classified", F.coalesce(yes, F.lit(False))).withColumn(
         "verdict_tier", F.when(F.col("classified"), raised(majority()))
@@ -143,7 +143,7 @@ def column_verdicts(profiles: DataFrame, sampled: DataFrame, ratio: float | None
 def column_owners(verdicts: DataFrame) -> DataFrame:
     """The detector that owns each classified column: mostly validated, densest, best validated, first seen."""
     strength = F.struct(
-        (F.col("validated") / F.col("sampled") >= 0.5).alias("a"), F.col("ratio").alias("b"), F.col("validated").alias("c"), (-F.col("first_seq")).alias("d")
+        (F.try_divide("validated", "sampled") >= 0.5).alias("a"), F.col("ratio").alias("b"), F.col("validated").alias("c"), (-F.col("first_seq")).alias("d")
     )
     return verdicts.where("classified").groupBy("unit_id", "column").agg(F.max_by("detector", strength).alias("owner"))
 
@@ -155,7 +155,7 @@ def without_losers(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     within the cell); very likely ones stay for exempt categories or detectors that validate a fifth of the column.
     """
     owners = column_owners(verdicts)
-    own = verdicts.select(*PAIR, (F.coalesce(F.col("validated") / F.col("sampled"), F.lit(0.0)) >= STRAGGLER_RATIO).alias("_proof"))
+    own = verdicts.select(*PAIR, (F.coalesce(F.try_divide("validated", "sampled"), F.lit(0.0)) >= STRAGGLER_RATIO).alias("_proof"))
     rows = candidates.join(owners, ["unit_id", "column"], "left").join(own, PAIR, "left")
     loser = F.col("owner").isNotNull() & (F.col("owner") != F.col("detector"))
     fine = rows.where(~loser)
@@ -241,8 +241,8 @@ def aggregated(findings: DataFrame, verdicts: DataFrame, threshold: int = AGGREG
     )
     v = verdicts.select(
         *PAIR, F.col("sampled").alias("column_sampled"), F.col("matches").alias("column_matches"),
-        F.round(F.col("matches") / F.col("sampled"), 3).alias("column_ratio"), F.col("validated").alias("column_validated_matches"),
-        F.round(F.col("validated") / F.col("sampled"), 3).alias("column_validated_ratio"),
+        F.round(F.try_divide("matches", "sampled"), 3).alias("column_ratio"), F.col("validated").alias("column_validated_matches"),
+        F.round(F.try_divide("validated", "sampled"), 3).alias("column_validated_ratio"),
     )
     folded = sizes.join(lists, PAIR).join(v, PAIR, "left")
     keep = [c for c in findings.columns if c not in (*PAIR, "tier", "evidence", "location")]

@@ -120,3 +120,8 @@ def test_clean_units_stay(spark):
 def test_empty_candidates(spark):
     fields = spark.createDataFrame([], "unit_id string, column string, words string, hints array<string>")
     assert ops.classify(frame(spark, []), sampled(spark, x=1), fields).count() == 0
+
+
+def test_column_nobody_counted_is_not_classified(spark):
+    v = ops.column_verdicts(ops.column_profiles(frame(spark, [row(i) for i in range(5)])), sampled(spark, other=3)).first()
+    assert v.sampled == 0 and not v.classified and v.ratio is None

@@ -42,6 +42,26 @@ def without_negative_fields(candidates: DataFrame, fields: DataFrame) -> DataFra
     return named.where(~veto | hinted).select(*candidates.columns)
 
 
+def without_covered(candidates: DataFrame, priorities: dict[str, int], default: int = 50) -> DataFrame:
+    """Hits no hit of higher priority in the same cell holds or covers by 80 %, and no equal one of their detector holds.
+
+    An interval anti-join within the cell; of equal spans of one detector the first in order stays.
+    """
+    known = F.create_map(*[F.lit(x) for pair in sorted(priorities.items()) for x in pair])
+    rows = candidates.withColumn("_p", F.coalesce(F.try_element_at(known, F.col("detector")), F.lit(default)))
+    others = rows.select(
+        *[F.col(c).alias(f"_{c}") for c in CELL], F.col("detector").alias("_d"), F.col("start_ix").alias("_s"), F.col("end_ix").alias("_e"),
+        F.col("_p").alias("_q"), F.col("seq").alias("_seq"),
+    )
+    inside = (F.col("_s") <= F.col("start_ix")) & (F.col("end_ix") <= F.col("_e"))
+    cover = F.least("end_ix", "_e") - F.greatest("start_ix", "_s")
+    wider = (F.col("_e") - F.col("_s") > F.col("end_ix") - F.col("start_ix")) | (F.col("_seq") < F.col("seq"))
+    drop = ((F.col("_q") > F.col("_p")) & (cover > 0) & (inside | (cover >= SAME_SPAN * F.greatest(F.lit(1), F.col("end_ix") - F.col("start_ix"))))) | (
+        (F.col("_d") == F.col("detector")) & inside & wider & (F.col("_seq") != F.col("seq"))
+    )
+    return rows.join(others, (F.col(CELL[0]) == F.col(f"_{CELL[0]}")) & (F.col(CELL[1]) == F.col(f"_{CELL[1]}")) & drop, "left_anti").select(*candidates.columns)
+
+
 def at_least(candidates: DataFrame, tier: int) -> DataFrame:
     return candidates.where(F.col("tier") >= tier)
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lodescan.engine.fields import field_table
 from lodescan.engine.policies import policy_for, with_policy
+from lodescan.engine.scan import PRIORITY
 from lodescan.engine.tiers import name_rank, rank_name, score_rank
 from lodescan.operators import findings as ops
 from lodescan.operators.cells import collapsed, leaf, scope
-from lodescan.runtime import latest, table
+from lodescan.runtime import checkpointed, latest, table
 
 
 def base_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +108,8 @@ def dominant_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dominance_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ops.corroborated_by_record(base_candidates(spark, sf_dir))
-    kept = ops.without_losers(c, _verdicts(c))
+    c = checkpointed(ops.corroborated_by_record(base_candidates(spark, sf_dir)))
+    kept = ops.without_losers(c, checkpointed(_verdicts(c)))
     return kept.groupBy("unit_id", "detector").agg(F.count("*").alias("kept"))
 
 
@@ -178,6 +179,11 @@ def policy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ops.without_covered(base_candidates(spark, sf_dir), {d: PRIORITY[d] for d, _ in _DETECTORS if d in PRIORITY})
+    return kept.groupBy("unit_id", "detector").agg(F.count("*").alias("kept"))
+
+
 def min_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.at_least(base_candidates(spark, sf_dir), 1).groupBy("unit_id").agg(F.count("*").alias("findings"))
 
@@ -231,16 +237,16 @@ def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = base_candidates(spark, sf_dir)
+    c = checkpointed(base_candidates(spark, sf_dir))
     columns = c.select("unit_id", "column").distinct()
-    fields = columns.join(field_table(columns), "column")
+    fields = checkpointed(columns.join(field_table(columns), "column"))
     rows = ops.classify(c, _sampled(c), fields)
     return rows.select("unit_id", "column", "detector", rank_name(F.col("tier")).alias("tier"), "location", "aggregated", "occurrences", F.concat_ws(",", "evidence").alias("evidence"))
 
 
 QUERIES = {f.__name__: f for f in (
     column_profile, column_verdict, dominant_detector, dominance_antijoin, record_identity_promotion, context_cap, count_promotion, sibling_columns,
-    aggregate_threshold, dedup_findings, club_findings, clean_units, allow_list_antijoin, negative_fields, policy_lookup, min_confidence, score_floor,
+    aggregate_threshold, dedup_findings, club_findings, clean_units, allow_list_antijoin, negative_fields, policy_lookup, overlap_resolution, min_confidence, score_floor,
     cell_paths, values_seen, sheet_regroup, eval_precision_recall, incremental_filter, head_sample, findings_pipeline,
 )}
 _TIER = "CASE {0} WHEN 0 THEN 'possible' WHEN 1 THEN 'likely' WHEN 2 THEN 'very_likely' END"
@@ -290,6 +296,21 @@ GROUP BY ALL""",
     "negative_fields": _BASE + """SELECT CASE WHEN ends_with(col, 'ref') THEN 'order_ref' ELSE col END AS "column", detector, count(*) AS kept FROM base
         WHERE NOT (ends_with(col, 'ref') AND detector IN ('Phone Number', 'Credit Card', 'UK_NHS', 'US SSN', 'IMEI')) GROUP BY ALL""",
     "policy_lookup": _BASE + _POLICY + "SELECT DISTINCT detector, context, column_ratio::DOUBLE AS column_ratio, min_count, identity FROM base JOIN policy USING (detector)",
+    "overlap_resolution": _BASE + ", pr(detector, p) AS (VALUES " + ", ".join(f"('{d}', {PRIORITY.get(d, 50)})" for d, _ in _DETECTORS) + """)
+, h AS (SELECT b.*, p, end_ix - start_ix AS len FROM base b JOIN pr USING (detector))
+SELECT unit_id, detector, count(*) AS kept FROM h WHERE NOT EXISTS (
+  SELECT 1 FROM h o WHERE o.unit_id = h.unit_id AND o.cell_id = h.cell_id AND o.seq <> h.seq AND (
+    (o.p > h.p AND least(o.end_ix, h.end_ix) > greatest(o.start_ix, h.start_ix) AND ((o.start_ix <= h.start_ix AND h.end_ix <= o.end_ix)
+      OR least(o.end_ix, h.end_ix) - greatest(o.start_ix, h.start_ix) >= 0.8 * greatest(1, h.len)))
+    OR (o.detector = h.detector AND o.start_ix <= h.start_ix AND h.end_ix <= o.end_ix AND (o.len > h.len OR o.seq < h.seq))))
+GROUP BY ALL""",
+    "sibling_columns": _BASE + _POLICY + """, w(col, words) AS (SELECT DISTINCT col, replace(trim(regexp_replace(replace(replace(col, 'birthdate', 'birth date'),
+        'cardnumber', 'card number'), '[^a-z]+', ' ', 'g')), '  ', ' ') FROM base),
+        c AS (SELECT DISTINCT unit_id, col, detector, CASE WHEN contains(col, '.') THEN regexp_extract(col, '^(.*)[.][^.]*$', 1) ELSE '' END AS parent, siblings
+              FROM base JOIN policy USING (detector) WHERE siblings IS NOT NULL),
+        o AS (SELECT DISTINCT b.unit_id, b.col AS other, CASE WHEN contains(b.col, '.') THEN regexp_extract(b.col, '^(.*)[.][^.]*$', 1) ELSE '' END AS parent, words FROM base b JOIN w USING (col))
+        SELECT c.unit_id, c.col AS "column", detector, string_agg(other, ',' ORDER BY other) AS siblings FROM c JOIN o ON c.unit_id = o.unit_id AND c.parent = o.parent
+          AND other <> c.col AND regexp_matches(words, siblings) GROUP BY ALL""",
     "min_confidence": _BASE + "SELECT unit_id, count(*) AS findings FROM base WHERE tier >= 1 GROUP BY unit_id",
     "score_floor": _BASE + f"SELECT detector, {_TIER.format('t')} AS tier, count(*) AS n FROM (SELECT detector, CASE WHEN score >= 0.9 THEN 2 WHEN score >= 0.8 THEN 1 WHEN score >= 0.5 THEN 0 END AS t FROM raw) WHERE t IS NOT NULL GROUP BY ALL",
     "cell_paths": _CELLS + r"""SELECT cell_id, regexp_replace(field_path, '\[\d+\]', '[]', 'g') AS "column",

@@ -8,7 +8,6 @@ value is given the canonical member of its group, the least one in code point or
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodescan.runtime import spread
+
 COLLATION = "UNICODE"
 
 # Letters of other scripts and their Latin look-alikes.
@@ -54,9 +55,8 @@ def mapping() -> dict[str, str]:
         base |= dict(zip(theirs, ours, strict=True))
     base |= dict.fromkeys(HYPHENS, "-") | dict.fromkeys(DOTS, ".") | dict.fromkeys(BLANK_LIKE, " ")
     out: dict[str, str] = {}
-    for code in range(sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
+    # the planes that hold letters, compatibility forms and format characters
+    for code in (*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)):
         c = chr(code)
         if c in base:
             to = base[c]
@@ -87,14 +87,12 @@ def mapped(value: Column) -> Column:
     single = {c: to for c, to in table.items() if len(to) == 1}
     gone = "".join(c for c, to in table.items() if to == "")
     out = F.translate(value, "".join(single) + gone, "".join(single.values()))
-    # ligatures and other characters that stand for several
-    several = {c: to for c, to in table.items() if len(to) > 1}
-    tail = "".join(several)
+    # ligatures and other characters that stand for several letters
+    several = {c: to for c, to in table.items() if len(to) > 1 and to.isascii() and to.isalpha()}
     wide = out
     for c, to in several.items():
-        if to.isascii() and to.isalpha():
-            wide = F.replace(wide, F.lit(c), F.lit(to))
-    return F.when(out.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in tail) + "]"), wide).otherwise(out)
+        wide = F.replace(wide, F.lit(c), F.lit(to))
+    return F.when(F.translate(out, "".join(several), "") != out, wide).otherwise(out)
 
 
 def canonical_members(values: DataFrame, value: str) -> DataFrame:
@@ -187,7 +185,7 @@ def lookalikes(
     listed = [r[0] for r in refs.select(ref_value).where(F.col(ref_value).isNotNull()).distinct().limit(most_refs + 1).collect()]
     if len(listed) > most_refs:
         raise ValueError(f"more than {most_refs} reference values")
-    found = texts.select(F.col(text_id).alias("row_id"), F.explode(stretch_finder(listed)(F.col(text))).alias("value"))
+    found = spread(texts.select(text_id, text)).select(F.col(text_id).alias("row_id"), F.explode(stretch_finder(listed)(F.col(text))).alias("value"))
     ours = cells.select(F.lit("cell").alias("src"), F.col(cell_id).alias("row_id"), F.col(cell_value).alias("value"))
     theirs = found.select(F.lit("blob").alias("src"), "row_id", "value")
     rows = ours.unionByName(theirs).where(F.col("value").isNotNull())

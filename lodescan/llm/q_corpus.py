@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from lodescan.llm.mixing import mix_documents, mix_report, quality
 from lodescan.llm.packing import pack_documents, packing_report
 from lodescan.llm.tokens import tokens
-from lodescan.runtime import table
+from lodescan.runtime import spread, table
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("n_tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("n_tokens"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "source", tokens(F.col("text")).alias("tokens"), quality(F.col("text")).alias("weight")
     )
     return mix_documents(docs, _targets(spark, sf_dir))

@@ -289,7 +289,8 @@ def _finder():
                     some, size = [], 0
             yield pd.Series(out + run(some), dtype="object")
 
-    return find
+    # else the optimizer would compute it once for each place it is used in
+    return find.asNondeterministic()
 
 
 def find_personal_data(df: DataFrame, keys: list[str], text: str) -> DataFrame:

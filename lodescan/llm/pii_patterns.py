@@ -63,6 +63,7 @@ def flattened(text: str) -> tuple[str, list[int] | None]:
     return flat, at
 
 
+@lru_cache(200_000)
 def name_key(word: str) -> str:
     """Word without case and accents, for look-up."""
     apart = unicodedata.normalize("NFD", word.casefold())
@@ -103,14 +104,20 @@ _CAP = rf"\p{{Lu}}[\p{{L}}\p{{M}}'’-]*"
 _UK = r"[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}"
 _UNIT = rf"(?:(?:{'|'.join(UNITS)})\s?\w{{1,5}}|#\s?\w{{1,5}})"
 _NO = r"(?<!\d[ ./-])\d{1,4}[a-z]?(?:\s(?:bis|ter))?(?!,?\s(?:The|A|An)\s)"
+# a second word of a town counts only before a postcode or at the end of a phrase: elsewhere it may begin the next sentence
+_MORE = rf"(?:[ ]{_CAP}(?=,|[ ]{_UK}|[.;)\n]|$))?"
+_TOWN = rf"{_CAP}{_MORE}"
 ADDRESSES = [regex.compile(_B + p + _E, f) for p, f in (
-    (rf"(?:{_UNIT},?\s)?{_NO},?\s{_CAP}(?:\s{_CAP})?\s(?:{'|'.join(STREETS)})\b\.?(?:,?\s{_UNIT}\b)?(?:,\s{_CAP}(?:\s{_CAP})?(?:,?\s{_UK}\b|,\s[A-Z]{{2}}\s\d{{5}}\b)?)?", 0),
-    (rf"{_NO},?\s(?i:{'|'.join(FRENCH_WAYS)})\s(?:(?:du|des|de la|de|de l['’]|la|le)\s?)?{_CAP}(?:,?\s\d{{5}}\s{_CAP}(?:\s{_CAP})?)?", 0),
-    (rf"(?:(?i:am|an der|im|auf der|zum|zur)\s)?\p{{Lu}}[\p{{L}}\p{{M}}-]*?(?i:{'|'.join(GERMAN_ENDS)})\s{{0,1}}\d{{1,4}}\s?[a-z]?\b(?:,?\s\d{{5}}\s{_CAP}(?:\s{_CAP})?)?", 0),
+    (rf"(?:{_UNIT},?\s)?{_NO},?[ ]{_CAP}(?:[ ]{_CAP})??[ ](?:{'|'.join(STREETS)})\b\.?(?:,?[ ]{_UNIT}\b)?(?:,\s{_TOWN}(?:,?[ ]{_UK}\b|,[ ][A-Z]{{2}}[ ]\d{{5}}\b)?)?", 0),
+    (rf"{_NO},?[ ](?i:{'|'.join(FRENCH_WAYS)})[ ](?:(?:du|des|de la|de|de l['’]|la|le)[ ]?)?{_CAP}(?:,?\s\d{{5}}[ ]{_TOWN})?", 0),
+    (rf"(?:(?i:am|an der|im|auf der|zum|zur)[ ])?\p{{Lu}}[\p{{L}}\p{{M}}-]*?(?i:{'|'.join(GERMAN_ENDS)})[ ]?\d{{1,4}}[ ]?[a-z]?\b(?:,?\s\d{{5}}[ ]{_TOWN})?", 0),
 )]
 _ADDRESS_STOP = regex.compile(r"\s(?:The|But|Both|On|In|With|Ref|Last|Release|Version|Order|Host)$")
 
 INITIAL = rf"\p{{Lu}}\."
+# compiled once: the module's own functions look their pattern up on every call
+_INITIAL, _LETTER, _POSSESSIVE = regex.compile(INITIAL), regex.compile(r"\p{L}"), regex.compile(r"['’]s$")
+_NUMBERED, _DASHED = regex.compile(r"[-@_./]?\d|@"), regex.compile(r"-\d")
 
 
 def _digits(s: str) -> int:
@@ -122,11 +129,20 @@ class Lexicon:
 
     def __init__(self, given: list[str], roots: list[str]):
         self.given, self.roots = frozenset(given), frozenset(roots)
+        self._family: dict[str, bool] = {}
 
     def is_given(self, word: str) -> bool:
         return name_key(word) in self.given
 
     def is_family(self, word: str) -> bool:
+        known = self._family.get(word)
+        if known is None:
+            if len(self._family) > 200_000:
+                self._family.clear()
+            known = self._family[word] = self._looks_family(word)
+        return known
+
+    def _looks_family(self, word: str) -> bool:
         key = name_key(word)
         for lead in ("o'", "o’", "al-"):
             key = key.removeprefix(lead)
@@ -145,7 +161,7 @@ def name_spans(flat: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
         return flat[words[j][1]:words[j + 1][0]] if j + 1 < n else "\n"
 
     def bare(word: str) -> str:
-        return regex.sub(r"['’]s$", "", word)
+        return _POSSESSIVE.sub("", word)
 
     def family(j: int) -> tuple[int, bool] | None:
         """Last word and sureness of a family name from word j on, particles included."""
@@ -171,10 +187,10 @@ def name_spans(flat: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
         start, end, word = words[i]
         following = flat[end:end + 2]
         plain = bare(word)
-        lead = any(lexicon.is_given(p) for p in plain.split("-")) and not regex.match(r"[-@_./]?\d|@", following)
+        lead = any(lexicon.is_given(p) for p in plain.split("-")) and not _NUMBERED.match(following)
         if lead and plain == word:
             j = i + 1
-            while j < n and gap(j - 1) == " " and (regex.fullmatch(INITIAL, words[j][2]) or lexicon.is_given(words[j][2])):
+            while j < n and gap(j - 1) == " " and (_INITIAL.fullmatch(words[j][2]) or lexicon.is_given(words[j][2])):
                 j += 1
             got = family(j) if j < n and gap(j - 1) == " " else None
             if got and not (word.islower() and not got[1]):
@@ -182,9 +198,9 @@ def name_spans(flat: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
                 out.append((start, words[last][0] + len(bare(words[last][2])), got[1]))
                 i = last + 1
                 continue
-        if regex.fullmatch(INITIAL, word) and gap(i) == " " or regex.fullmatch(r"\p{L}", word) and flat[end:end + 2] == ". ":
+        if _INITIAL.fullmatch(word) and gap(i) == " " or _LETTER.fullmatch(word) and flat[end:end + 2] == ". ":
             j = i + 1
-            while j < n and regex.fullmatch(INITIAL, words[j][2]) and gap(j) == " ":
+            while j < n and _INITIAL.fullmatch(words[j][2]) and gap(j) == " ":
                 j += 1
             got = family(j) if j < n else None
             if got and got[1]:
@@ -197,13 +213,13 @@ def name_spans(flat: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
             k = got[0] + 1
             first = words[k][2]
             comma = gap(got[0]) == ", "
-            initial = comma and regex.fullmatch(INITIAL, first) is not None
+            initial = comma and _INITIAL.fullmatch(first) is not None
             if initial or lexicon.is_given(bare(first)):
-                while k + 1 < n and gap(k) == " " and regex.fullmatch(INITIAL, words[k + 1][2]):
+                while k + 1 < n and gap(k) == " " and _INITIAL.fullmatch(words[k + 1][2]):
                     k += 1
                 nextf = family(k + 1) if not comma and k + 1 < n and gap(k) == " " else None
-                if not (nextf and nextf[1]) and not regex.match(r"-\d", flat[words[k][1]:words[k][1] + 2]):
-                    tail = words[k][2] if regex.fullmatch(INITIAL, words[k][2]) else bare(words[k][2])
+                if not (nextf and nextf[1]) and not _DASHED.match(flat[words[k][1]:words[k][1] + 2]):
+                    tail = words[k][2] if _INITIAL.fullmatch(words[k][2]) else bare(words[k][2])
                     out.append((start, words[k][0] + len(tail), True))
                     i = k + 1
                     continue
@@ -219,7 +235,7 @@ def candidates(flat: str, lexicon: Lexicon) -> list[tuple[int, int, str, bool]]:
     if _SPELLED_CUE.search(flat):
         for p in SPELLED:
             found += [(m.start(), m.end(), "EMAIL", True, 0) for m in p.finditer(flat)]
-    if regex.search(r"\d", flat):
+    if any(c.isdigit() for c in flat):
         for m in LABELLED.finditer(flat):
             if _digits(m["v"]) >= 6:
                 found.append((*m.span("v"), "ID_NUMBER", True, 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodescan.llm.pii import find_personal_data, redact
-from lodescan.runtime import table
+from lodescan.runtime import spread, table
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for src, df, row_id, text in parts:
         part = df.select(F.lit(src).alias("src"), F.col(row_id).alias("row_id"), F.col(text).alias("body")).where(F.col("body").isNotNull())
         rows = part if rows is None else rows.unionByName(part)
-    # a repeated delivery has the same text; small files are spread over all tasks
-    return rows.groupBy("src", "row_id").agg(F.max("body").alias("body"))
+    # a repeated delivery has the same text; one exchange serves the aggregation and spreads small files over all cores
+    return spread(rows, "src", "row_id").groupBy("src", "row_id").agg(F.max("body").alias("body"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ _MACHINE = re.compile(r"\{[^{}\n]*\}|\S*[\d=/\\{}<>|#@_\[\]§]\S*")
 _QUOTED = re.compile(r"\(?[\"“„«「][^\"“”„»」\n]{0,200}[\"”»」]\)?")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
+_ODD, _WIDE = re.compile(r"[\d=/\\{}<>|#@_\[\]§\"“„«「]"), re.compile("[\u3041-\U0003ffff]")
 
 
 def label_language(label: Column) -> Column:
@@ -55,13 +56,14 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     cuts = [m.span() for m in _END.finditer(text)] + [(len(text), len(text))]
     for stop, following in cuts:
         piece = text[at:stop]
-        bare = _MACHINE.sub(" ", _QUOTED.sub(" ", piece))
+        bare = _MACHINE.sub(" ", _QUOTED.sub(" ", piece)) if _ODD.search(piece) else piece
         words = _WORD.findall(bare)
-        letters = sum(map(len, words))
-        wide = sum(c > "぀" for w in words for c in w)
+        wording = " ".join(words).lower()
+        letters = len(wording) - len(words) + 1
+        wide = 0 if wording.isascii() else len(_WIDE.findall(wording))
         if len(words) >= 3 and letters >= 10 or wide >= 6:
             lead = len(piece) - len(piece.lstrip())
-            out.append((at + lead, at + len(piece.rstrip()), " ".join(words).lower()))
+            out.append((at + lead, at + len(piece.rstrip()), wording))
         at = following
     return out
 
@@ -125,16 +127,19 @@ class Profiles:
         orthogonal but for chance, so that the squares of the counts add up.
         """
         parts = [triples(t) for t in texts]
+        out = np.zeros((len(texts), self.unit.shape[0]), dtype=np.float32)
+        lengths = np.asarray([len(p) for p in parts], dtype=np.int64)
+        if not lengths.sum():
+            return out
         keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         rows = self._rows(keys)
-        out = np.zeros((len(texts), self.unit.shape[0]), dtype=np.float32)
-        at = 0
-        for i, part in enumerate(parts):
-            if len(part):
-                own, counts = np.unique(inverse[at:at + len(part)], return_counts=True)
-                length = np.sqrt(DIMENSIONS * float((counts.astype(np.float64) ** 2).sum()))
-                out[i] = counts.astype(np.float32) @ self.dots[rows[own]] / length
-            at += len(part)
+        # one number for each (text, triple), in order of the texts
+        pairs, counts = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(keys) + inverse, return_counts=True)
+        owner, weight = pairs // len(keys), counts.astype(np.float32)
+        some = np.flatnonzero(lengths)
+        first = np.searchsorted(owner, some)
+        sums = np.add.reduceat(weight[:, None] * self.dots[rows[pairs % len(keys)]], first, axis=0)
+        out[some] = sums / np.sqrt(DIMENSIONS * np.add.reduceat(weight * weight, first))[:, None]
         return out
 
 
@@ -202,7 +207,8 @@ def _segmenter():
         for texts in batches:
             yield texts.map(lambda t: [dict(zip(names, s)) for s in stretches(t, profiles)])
 
-    return segment
+    # else the optimizer would compute it once for each place it is used in
+    return segment.asNondeterministic()
 
 
 def language_segments(df: DataFrame, doc_id: str, text: str) -> DataFrame:

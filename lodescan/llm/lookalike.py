@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodescan.runtime import spread
+from lodescan.runtime import checkpointed, spread
 
 COLLATION = "UNICODE"
 
@@ -186,6 +186,7 @@ def lookalikes(
     if len(listed) > most_refs:
         raise ValueError(f"more than {most_refs} reference values")
     found = spread(texts.select(text_id, text)).select(F.col(text_id).alias("row_id"), F.explode(stretch_finder(listed)(F.col(text))).alias("value"))
+    found = checkpointed(found)  # read by the classes and by the result; finding is the dear part
     ours = cells.select(F.lit("cell").alias("src"), F.col(cell_id).alias("row_id"), F.col(cell_value).alias("value"))
     theirs = found.select(F.lit("blob").alias("src"), "row_id", "value")
     rows = ours.unionByName(theirs).where(F.col("value").isNotNull())

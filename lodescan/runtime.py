@@ -73,22 +73,19 @@ def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
-def tasks(spark: SparkSession) -> int:
-    """A number of partitions that keeps every core busy, and no fewer than shuffles have."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Rows over all cores before costly work on each row, if the input is too small to be read by all of them.
 
     A larger input is left as it is read. With columns, rows that agree in them stay together, and the number of
-    partitions is kept, so that a following aggregation by them needs no further exchange.
+    partitions is kept, so that a following aggregation by them needs no further exchange: one per 8 MB, at least
+    two per core, at most as many as shuffles have.
     """
     spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, table_bytes(df)
     if columns:
-        return df.repartition(tasks(spark), *columns)
-    enough = spark.sparkContext.defaultParallelism * (16 << 20)
-    return df.repartition(tasks(spark)) if table_bytes(df) < enough else df
+        most = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return df.repartition(min(max(2 * cores, size >> 23), most), *columns)
+    return df.repartition(2 * cores) if size < cores * (16 << 20) else df
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -8,6 +8,7 @@ import math
 import pkgutil
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 # Published examples of secrets, card numbers for tests, passwords from documentation.
@@ -35,18 +36,68 @@ def vendor_formats() -> tuple[tuple[str, re.Pattern], ...]:
     return tuple((name, re.compile(pattern)) for name, pattern in rows)
 
 
+def _branches(pattern: str) -> list[str]:
+    """A pattern cut at its alternations that lie outside of all groups and classes."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+def _needed(branch: str) -> list[str]:
+    """Texts one of which every match of the branch contains; empty if none is known."""
+    first = re.match(r"\\b\(\?:([A-Za-z|_]+)\)", branch)
+    if first:
+        return first.group(1).split("|")
+    plain = re.sub(r"\(\?i\)|\\b", "", branch)
+    plain = re.sub(r"\(\?[=!<][^()]*\)|\((?:\?:)?[^()]*\|[^()]*\)|\([^()]*\)\?", " ", plain)
+    plain = re.sub(r"\[[^\]]*\](?:\{[^}]*\}|[*+?])?|\\[A-Za-z](?:\{[^}]*\}|[*+?])?", " ", plain)
+    plain = re.sub(r"\\(.)", r"\1", plain)
+    runs = [r for r in re.findall(r"[A-Za-z0-9_.:/$\"-]+(?![*?])", plain) if len(r) >= 2]
+    return [max(runs, key=len)] if runs else []
+
+
 @lru_cache(1)
-def vendor_gate() -> re.Pattern:
-    """One pattern that any vendor token contains: a literal run of each format, or of each of its beginnings."""
-    parts = set()
-    for _, pattern in vendor_formats():
-        choice = re.match(r"\\b\(\?:([A-Za-z|_]+)\)", pattern.pattern)
-        if choice:
-            parts |= set(choice.group(1).split("|"))
-            continue
-        literal = re.search(r"[A-Za-z]{2,}[_.-]?[A-Za-z]*", re.sub(r"\(\?(?:i\)|:|=|<[=!]|!)|\[[^\]]*\]|\\.|\{[^}]*\}", " ", pattern.pattern))
-        parts.add(re.escape(literal.group()) if literal else r"\d{8,}|[01]/\d{16}|[a-f0-9]{32}")
-    return re.compile("|".join(sorted(parts)) + r"|[MN][A-Za-z\d]{23}|[5KL][HJK1-9A-HJ-NP-Za-km-z]{50}|[0-9a-f]{12}:fx|SK[0-9a-fA-F]{32}", re.I)
+def vendor_gates() -> tuple[tuple[str, re.Pattern, tuple[str, ...], bool], ...]:
+    """Detector, pattern, needed texts (none: any long run will do) and whether letter case is free, per format."""
+    out = []
+    for name, pattern in vendor_formats():
+        needs = [_needed(b) for b in _branches(pattern.pattern)]
+        free = bool(pattern.flags & re.IGNORECASE)
+        texts = tuple(t.lower() if free else t for n in needs for t in n) if all(needs) else ()
+        out.append((name, pattern, texts, free))
+    return tuple(out)
+
+
+_LONG_RUN = re.compile(r"[^\s\"'<>(){},;]{16}")
+
+
+def vendor_tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """(detector, start, end) of the vendor tokens of a text; a pattern runs only if the text holds what it needs."""
+    lowered = long_run = None
+    for name, pattern, needed, free in vendor_gates():
+        if needed:
+            if free and lowered is None:
+                lowered = text.lower()
+            where = lowered if free else text
+            if not any(t in where for t in needed):
+                continue
+        else:
+            long_run = _LONG_RUN.search(text) is not None if long_run is None else long_run
+            if not long_run:
+                continue
+        for m in pattern.finditer(text):
+            yield name, *(m.span(1) if m.lastindex and m.group(1) else m.span())
 
 
 def entropy(text: str) -> float:

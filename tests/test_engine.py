@@ -1,3 +1,5 @@
+import random
+import re._parser as parser
 import time
 
 import pytest
@@ -8,7 +10,7 @@ from lodescan.engine.policies import policy_for
 from lodescan.engine.rules import catalogue
 from lodescan.engine.scan import ScanConfig, find_candidates, scan_value, without_overlaps
 from lodescan.engine.tiers import rank_of
-from lodescan.engine.tokens import decoded, entropy, jwt_parts, shape, vendor_formats
+from lodescan.engine.tokens import decoded, entropy, jwt_parts, shape, vendor_formats, vendor_tokens
 
 WORKER = ScanConfig(regions=("US", "IN", "GB"))
 # detector, a value that passes its check
@@ -116,3 +118,32 @@ def test_find_candidates_counts_every_cell(spark):
     found = find_candidates(df, config=WORKER).collect()
     assert sorted((r.id, r.detector) for r in found) == [(1, "Email"), (2, "Email")]
     assert find_candidates(df.limit(0), config=WORKER).count() == 0
+
+
+def made_after(pattern, rng):
+    """A text made by walking a pattern, choosing at random."""
+    out = ""
+    for op, arg in pattern:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            some = []
+            for kind, x in arg:
+                kind = str(kind)
+                some += [chr(x)] if kind == "LITERAL" else [chr(c) for c in range(x[0], x[1] + 1)] if kind == "RANGE" else list("0123456789") if "DIGIT" in str(x) else [" "] if str(x) == "CATEGORY_SPACE" else list("ab1")
+            out += "a" if str(arg[0][0]) == "NEGATE" else rng.choice(some)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(made_after(arg[2], rng) for _ in range(arg[0]))
+        elif op == "SUBPATTERN":
+            out += made_after(arg[-1], rng)
+        elif op == "BRANCH":
+            out += made_after(rng.choice(arg[1]), rng)
+    return out
+
+
+@pytest.mark.parametrize("name,pattern", vendor_formats())
+def test_every_vendor_format_is_found_behind_its_gate(name, pattern):
+    rng = random.Random(5)
+    made = [t for t in (f"x {made_after(parser.parse(pattern.pattern), rng)} y" for _ in range(40)) if pattern.search(t)]
+    assert made and all(any(n == name for n, _, _ in vendor_tokens(t)) for t in made)

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 LEAF_ROWS = 100_000
+#: rows of a sample (three short columns) that are sent to every task; larger samples are joined by a shuffle
+MOST_BROADCAST = 200_000
 #: the library's generator takes no larger populations
 _LARGEST = 900_000_000
 
@@ -158,8 +160,10 @@ def sample_records(
     chosen = ranked.join(
         places, ranked["_group"].eqNullSafe(places["_g"]) & (F.col("_leaf") == F.col("_l")) & (F.col("_row") == F.col("_place"))
     ).select(F.col("_group").alias("_g"), F.col("_record").alias("_r"), F.col("_piece").alias("_p"), "population")
+    # the sizes say how many rows are chosen at most: few of them go to the records, instead of the records to them
+    wanted = plan.agg(F.sum("_k")).first()[0] or 0
     rows = df.join(
-        chosen, (F.col(record) == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")) & F.col(piece).eqNullSafe(F.col("_p"))
+        F.broadcast(chosen) if wanted <= MOST_BROADCAST else chosen, (F.col(record) == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")) & F.col(piece).eqNullSafe(F.col("_p"))
     )
     # copies within one piece
     one = rows.groupBy("_g", "_r").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns], "population")).alias("_row"))

@@ -111,7 +111,9 @@ def _records(spark, rows):
     return spark.createDataFrame(rows, "unit string, rec long, piece int, cells string, population string")
 
 
-def test_sample_size_and_repeats(spark):
+@pytest.mark.parametrize("broadcast", [S.MOST_BROADCAST, 0])
+def test_sample_size_and_repeats(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "MOST_BROADCAST", broadcast)
     rows = [("u", i, i % 3, "c", "x") for i in range(50)] + [("u", i, 3, "late", "x") for i in range(10)] + [("v", 1, 0, None, None), ("v", 1, 0, None, None), ("w", 5, 0, "c", "x")]
     rows += [("u", None, 0, "c", "x"), (None, 7, None, "c", "x")]
     plans = spark.createDataFrame([("u", 20), ("v", 5), ("v", 3), ("x", 4), (None, 2), ("w", 0)], "unit string, k int")

@@ -85,7 +85,8 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     if columns:
         most = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
         return df.repartition(min(max(2 * cores, size >> 23), most), *columns)
-    return df.repartition(2 * cores) if size < cores * (16 << 20) else df
+    few = size < cores * (16 << 20) and len(df.inputFiles()) < cores
+    return df.repartition(2 * cores) if few else df
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

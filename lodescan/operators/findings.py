@@ -183,14 +183,15 @@ def without_losers(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     spans = rows.where((F.col("owner") == F.col("detector")) & ~F.col("encoded")).select(
         *[F.col(c).alias(f"_{c}") for c in CELL], F.col("column").alias("_column"), F.col("start_ix").alias("_s"), F.col("end_ix").alias("_e")
     )
+    # the two ways to stay share no row, so that no key has to tell hits apart
+    proven = F.coalesce((F.col("category").isin(*EXEMPT_CATEGORIES) | F.coalesce("_proof", F.lit(False))) & (F.col("tier") == VERY_LIKELY), F.lit(False))
     covered = F.least("end_ix", "_e") - F.greatest("start_ix", "_s")
     same = [F.col(c) == F.col(f"_{c}") for c in CELL]
-    apart = losers.where(F.col("independent")).join(
+    apart = losers.where(F.col("independent") & ~proven).join(
         spans, same[0] & same[1] & (F.col("column") == F.col("_column")) & ~F.col("encoded") & (covered > 0)
         & (covered / F.greatest(F.lit(1), F.col("end_ix") - F.col("start_ix")) >= SAME_SPAN), "left_anti",
     )
-    proven = (F.col("category").isin(*EXEMPT_CATEGORIES) | F.coalesce("_proof", F.lit(False))) & (F.col("tier") == VERY_LIKELY)
-    kept = apart.select(*candidates.columns).unionByName(losers.where(proven).select(*candidates.columns)).dropDuplicates(["unit_id", "seq"])
+    kept = apart.select(*candidates.columns).unionByName(losers.where(proven).select(*candidates.columns))
     return fine.select(*candidates.columns).unionByName(kept)
 
 

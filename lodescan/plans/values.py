@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodescan.engine.detectors import DEMO_DOMAINS, DEMO_ENDINGS, HEALTH_WORDS
@@ -135,6 +135,13 @@ def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("blob_id", "detector", "value", "score", rank_name(F.col("tier")).alias("tier"), place.alias("line"))
 
 
+def place_in_unit(record_ix: Column, cell_ix: Column, hit_ix: Column) -> Column:
+    """Order of a hit in its unit: record, cell, hit. Any long and two ints fit without sharing digits."""
+    whole = "decimal(38,0)"
+    record = record_ix.cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)") * F.lit(10**10).cast("decimal(11,0)")
+    return (record.cast(whole) + (F.coalesce(cell_ix, F.lit(0)).cast("decimal(10,0)") * F.lit(10**9).cast("decimal(10,0)") + hit_ix).cast(whole)).cast(whole)
+
+
 def classify_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From cells to findings: scan, profiles, verdicts, promotions, aggregation."""
     cells = _cells(spark, sf_dir).select(
@@ -143,7 +150,7 @@ def classify_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("cell_id").cast("string").alias("cell_id"), F.col("cell_value").alias("value"), F.col("cell_location").alias("location"),
     )
     hits = find_candidates(cells, config=ScanConfig(regions=WORKER_REGIONS)).drop("cell_value", "field", "field_hint", "score")
-    hits = hits.withColumn("seq", F.col("record_ix") * 1_000_000_000 + F.col("cell_ix") * 100_000 + F.least("start_ix", F.lit(99_999))).drop("cell_ix")
+    hits = hits.withColumn("seq", place_in_unit(F.col("record_ix"), F.col("cell_ix"), F.col("hit_ix"))).drop("cell_ix", "hit_ix")
     columns = cells.select("unit_id", "column").distinct()
     rows = classify(hits, values_seen(cells), columns.join(field_table(columns), "column"))
     return rows.select("unit_id", "column", "detector", "value", rank_name(F.col("tier")).alias("tier"), "location", "aggregated", "occurrences")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodescan.engine.fields import field_table
 from lodescan.operators import findings as ops
+from lodescan.plans.values import place_in_unit
 
 SCHEMA = (
     "unit_id string, record_ix long, column string, scope string, cell_id string, detector string, category string, severity string, value string, "
@@ -125,3 +126,21 @@ def test_empty_candidates(spark):
 def test_column_nobody_counted_is_not_classified(spark):
     v = ops.column_verdicts(ops.column_profiles(frame(spark, [row(i) for i in range(5)])), sampled(spark, other=3)).first()
     assert v.sampled == 0 and not v.classified and v.ratio is None
+
+
+def test_losing_hits_that_start_together_all_stay(spark):
+    rows = [row(i, detector="FR_NIR", validated=True, end=15) for i in range(10)]
+    # three losers of one cell and one seq, apart from the owner's span
+    rows += [row(3, detector=d, category="PII", record=3, start=40, end=60, tier=t) for d, t in (("Email", 1), ("Address", 1), ("Phone Number", 2))]
+    # a loser that stays for both reasons counts once
+    rows += [row(4, detector="Password Pattern", category="Credentials and Secrets", record=4, start=40, end=60, tier=2)]
+    c = frame(spark, rows).withColumn("independent", F.col("tier") >= 1)
+    kept = ops.without_losers(c, ops.column_verdicts(ops.column_profiles(c), sampled(spark, ref=10)))
+    assert sorted(r.detector for r in kept.where("detector <> 'FR_NIR'").collect()) == ["Address", "Email", "Password Pattern", "Phone Number"]
+
+
+def test_places_of_hits_in_a_unit_differ(spark):
+    at = [(0, 0, 100_000), (0, 0, 100_001), (0, 1, 0), (0, 10_000, 0), (1, 0, 0), (2**63 - 1, 2**31 - 1, 10**9 - 1)]
+    rows = spark.createDataFrame([(*a, i) for i, a in enumerate(at)], "r long, c int, h int, i int")
+    places = [x.p for x in rows.select("i", place_in_unit(F.col("r"), F.col("c"), F.col("h")).alias("p")).orderBy("i").collect()]
+    assert None not in places and places == sorted(set(places))

@@ -120,6 +120,16 @@ def test_find_candidates_counts_every_cell(spark):
     assert find_candidates(df.limit(0), config=WORKER).count() == 0
 
 
+def test_find_candidates_loses_nothing_that_scan_value_reports(spark):
+    pairs = [("Contact: Ann Lee", "x"), ("Account holder: Ann Lee", "x"), ("pswd: hunters", "x"), ("db_pass=hunters", "x"), ("doctor, dosage, symptoms", "x"),
+             ("Basic\tYWRtaW46czNjcjN0UHc5", "x"), ("Ann Lee", "full_name")]
+    pairs += [("sesame", f) for f in ("passphrase", "passcode", "otp", "cvv", "jwt", "pem", "dsn", "webhook", "bearer", "header_value", "connection_string")]
+    want = {(v, f, h["detector"], h["start_ix"]) for v, f in pairs for h in scan_value(v, f, WORKER)}
+    assert {(v, f) for v, f, _, _ in want} == set(pairs)
+    found = find_candidates(spark.createDataFrame(pairs, "text string, field string"), "text", config=WORKER).collect()
+    assert {(r.text, r.field, r.detector, r.start_ix) for r in found} == want
+
+
 def made_after(pattern, rng):
     """A text made by walking a pattern, choosing at random."""
     out = ""

@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodescan.llm.pii_patterns import ORGANISATIONS, STREETS, TITLES, TOKEN, TYPES, Lexicon, candidates, flattened, name_key
+from lodescan.engine.checks import VALIDATORS
+from lodescan.llm.pii_patterns import ORGANISATIONS, STREETS, TITLES, TOKEN, TYPES, Lexicon, candidates, flattened, label_starts, leads, name_key
 
 LABELS = ["O", *TYPES]
 INDEX = {x: i for i, x in enumerate(LABELS)}
@@ -45,23 +46,59 @@ def shape(token: str) -> str:
     return "XX" if token.isupper() else "Xx" if token[:1].isupper() else "xx"
 
 
-def token_features(flat: str, spans: list[tuple[int, int]], found: list[tuple[int, int, str, bool]], lexicon: Lexicon) -> list[list[str]]:
-    """Names of the active features of every token."""
+#: checks of identity numbers that may stand without a label
+CHECKS = ("UK_NHS", "PL_PESEL", "IN Aadhaar", "DE_TAX_ID", "ES_NIF", "ES_NIE")
+
+
+def checked(value: str) -> bool:
+    """Whether a check digit or letter of some kind of identity number is right."""
+    bare = re.sub(r"[ .-]", "", value)
+    for name in CHECKS:
+        try:
+            if VALIDATORS[name](bare):
+                return True
+        except (ValueError, IndexError):
+            continue
+    return False
+
+
+def form(value: str) -> str:
+    """Lengths of the runs of digits of a number and the marks between them."""
+    return re.sub(r"[A-Za-z]+", "A", re.sub(r"[0-9]+", lambda m: str(len(m.group())), value))
+
+
+def token_features(
+    flat: str, spans: list[tuple[int, int]], found: list[tuple[int, int, str, bool]], lexicon: Lexicon, labelled: bool = True
+) -> list[list[str]]:
+    """Names of the active features of every token; if not ``labelled``, a number's label is passed over."""
     words = [flat[s:e] for s, e in spans]
     inside = [""] * len(spans)
+    numbers = any(kind in ("ID_NUMBER", "PHONE") for _, _, kind, _ in found)
+    labels = label_starts(flat) if numbers else {}
+    led = leads(flat, found, labels) if numbers else [("", "", "")] * len(found)
+    lead: list[list[str]] = [[] for _ in spans]
+    skipped: dict[int, str] = {}
     at = 0
     for i, (s, _) in enumerate(spans):
         while at < len(found) and found[at][1] <= s:
             at += 1
         if at < len(found) and found[at][0] <= s:
             inside[i] = f"{found[at][2]}{'!' if found[at][3] else '?'}"
+            if led[at][0]:
+                one, two, joined = led[at]
+                value = flat[found[at][0]:found[at][1]]
+                lead[i] = [f"lead={one}", f"lead2={two}", f"form={form(value)}", *([f"joined={joined}"] if joined else [])]
+                if found[at][2] == "ID_NUMBER" and checked(value):
+                    lead[i].append("checked")
+                if not labelled and s == found[at][0] and s in labels:
+                    skipped[i] = one
     low = [w.lower() for w in words]
     out = []
     for i, w in enumerate(words):
         own = ["bias", f"cand={inside[i]}", f"shape={shape(w)}", f"w={low[i]}"]
-        before = low[i - 1] if i else "^"
+        before = skipped.get(i) or (low[i - 1] if i else "^")
         after = words[i + 1] if i + 1 < len(words) else "$"
-        own += [f"w-1={before}", f"w+1={after.lower()}"]
+        own += [f"w-1={before}", f"w+1={after.lower()}", *lead[i]]
         if w[:1].isalpha() and len(w) > 2:
             if lexicon.is_given(w):
                 own.append("given")
@@ -339,30 +376,56 @@ def learn_lexicon(names: pd.Series, least_given: int = 20, least_root: int = 20)
     return Lexicon([g for g, n in given.items() if n >= least_given], [r for r, n in roots.items() if n >= least_root and len(r) == 3])
 
 
+def _leads_of_labelled(docs: list[Document], least: int = 2, share: float = 0.1, rare: int = 5) -> set[str]:
+    """Features of words before numbers that stand before sure identity numbers too, not only before others.
+
+    Two words count where they are frequent enough, else the last of them.
+    """
+    sure, all_ = Counter(), Counter()
+    pairs = set()
+    for d in docs:
+        for own in d.features:
+            led = tuple(f for f in own if f.startswith(("lead=", "lead2=")))
+            all_.update(led)
+            if led:
+                pairs.add(led)
+            if "cand=ID_NUMBER!" in own:
+                sure.update(led)
+    known = {f for f, n in sure.items() if n >= max(least, share * all_[f])}
+    return {two for one, two in pairs if (two if all_[two] >= rare else one) in known}
+
+
 def fit(texts: list[str], lexicon: Lexicon, least: int = 4, epochs: int = 12, rate: float = 0.3, seed: int = 5) -> Model:
     """Pseudo-likelihood fit (each token given its neighbours' and its tied tokens' labels) on weak labels.
 
     The weak labels are the sure candidates. A third of the candidates' flags is hidden while fitting, so that
-    words, lexicon, neighbours and ties carry weight of their own.
+    words, lexicon, neighbours and ties carry weight of their own; in another third, numbers look as they would without
+    their labels, so that what stands before labelled numbers tells the unlabelled ones from other numbers.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     docs = [Document(t, lexicon) for t in texts if t]
-    counts = Counter(f for d in docs for own in d.features for f in own)
+    plain = [token_features(d.flat, d.spans, candidates(d.flat, lexicon, labels=False), lexicon, labelled=False) for d in docs]
+    counts = Counter(f for d in docs for own in d.features for f in own) + Counter(f for p in plain for own in p for f in own if f.endswith("?"))
+    known = _leads_of_labelled(docs)
     names = sorted(f for f, n in counts.items() if n >= least)
     row = {n: i for i, n in enumerate(names)}
     W, T, S = np.zeros((len(names), K)), np.zeros((K, K)), np.zeros((K, K))
     G = [np.full_like(x, 1e-6) for x in (W, T, S)]
     examples = []
-    for d in docs:
-        y, c = np.zeros(len(d.spans), dtype=np.int64), 0
+    for d, unlabelled in zip(docs, plain):
+        y, c, much = np.zeros(len(d.spans), dtype=np.int64), 0, np.ones((len(d.spans), 1))
         for i, (s, _) in enumerate(d.spans):
             while c < len(d.found) and d.found[c][1] <= s:
                 c += 1
             if c < len(d.found) and d.found[c][0] <= s:
-                y[i] = INDEX[d.found[c][2]]
+                kind, sure = d.found[c][2:]
+                y[i] = 0 if kind == "ID_NUMBER" and not sure else INDEX[kind]
+                # an unsure number where others have labels may be anything: no example
+                much[i] = 0 if kind in ("ID_NUMBER", "PHONE") and not sure and not known.isdisjoint(d.features[i]) else 1
+        bare_rows = [[row[f] for f in own if f in row] for own in unlabelled]
         rows = [[row[f] for f in own if f in row] for own in d.features]
         flags = [next((r for r in own if names[r].startswith("cand=")), -1) for own in rows]
-        examples.append((y, rows, flags, np.asarray(d.ties, dtype=np.int64).reshape(-1, 2)))
+        examples.append((y, much, rows, bare_rows, flags, np.asarray(d.ties, dtype=np.int64).reshape(-1, 2)))
 
     def step(target: np.ndarray, grad: np.ndarray, seen: np.ndarray) -> None:
         seen += grad * grad
@@ -372,11 +435,14 @@ def fit(texts: list[str], lexicon: Lexicon, least: int = 4, epochs: int = 12, ra
     for _ in range(epochs):
         for start in range(0, len(examples), 32):
             gw, gt, gs = np.zeros_like(W), np.zeros_like(T), np.zeros_like(S)
-            for y, rows, flags, ties in examples[start:start + 32]:
+            for y, much, rows, bare_rows, flags, ties in examples[start:start + 32]:
                 n = len(y)
                 if not n:
                     continue
-                hide = rng.random() < 0.34
+                draw = rng.random()
+                hide = draw < 0.34
+                if draw > 0.66:
+                    rows = bare_rows
                 owner = np.repeat(np.arange(n), [len(r) for r in rows])
                 feats = np.fromiter((hidden if hide and f == flags[i] else f for i, r in enumerate(rows) for f in r), dtype=np.int64)
                 score = np.zeros((n, K))
@@ -390,6 +456,7 @@ def fit(texts: list[str], lexicon: Lexicon, least: int = 4, epochs: int = 12, ra
                 p /= p.sum(axis=1, keepdims=True)
                 g = -p
                 g[np.arange(n), y] += 1
+                g *= much
                 np.add.at(gw, feats, g[owner])
                 np.add.at(gt, y[:-1], g[1:])
                 np.add.at(gt.T, y[1:], g[:-1])

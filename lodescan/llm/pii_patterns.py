@@ -36,10 +36,8 @@ ID_LABELS = (
     r"(?:travel\s?document\s?\(?)?passport\)?(?:\s?(?:number|no\.?|nr\.?))?|travel\s?document|reisepass(?:nr\.?)?|"
     r"national\s?(?:id|insurance)(?:\s?(?:number|no\.?))?|sozialversicherungsnummer|id\s?card(?:\s?no\.?)?"
 )
-ID_CARRIERS = (
-    r"form lists|formulario incluye|mentionne|im feld steht|caller gave|scanner kept|guarantor id|disputes the match,|"
-    r"confirmed|holds|field notes:|user said [\"“]?"
-)
+# Words that join a number to the one before it.
+JOINING = r"and|or|und|oder|et|ou|y|e|o|i|lub"
 
 _L = r"[\p{L}\p{M}]"
 _WORDY = rf"{_L}+"
@@ -98,7 +96,9 @@ _V = (r"(?:[A-Z]{1,2}\d{6,8}|[XYZ]\d{7}[ -]?[A-Z]|\d{8}[ -]?[A-Z]|\d{3}[ .-]\d{2
       r"\d{2}[ .]\d{3}[ .]\d{3}[ .]\d{3}|\d{4}[ -]\d{4}[ -]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{9,13})")
 LABELLED = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{ID_LABELS})(?:\s?[:=.#]\s?|\s(?:is|ist|es|no\.?|nr\.?)\s|\s){{1,2}}(?<v>{_V})(?![\p{{L}}\p{{N}}]|[-/.]\d)", regex.I)
 BARE_IDS = [regex.compile(_B + p + _E) for p in (r"\d{3}([ .-])\d{2}\1\d{4}", r"\d{8}-?[A-HJ-NP-TV-Z]")]
-CARRIED = regex.compile(rf"(?:{ID_CARRIERS})\s?(?<v>{_V})(?![\p{{L}}\p{{N}}]|[-/.]\d)", regex.I)
+SHAPED = regex.compile(_B + _V + _E)
+_JOINED = regex.compile(rf"\s*(?:[,;/&|]|[,;]?\s(?:{JOINING})\s)\s*", regex.I)
+_LEAD = regex.compile(rf"{_L}+|\p{{N}}+|[.!?](?=\s)|\n")
 
 _CAP = rf"\p{{Lu}}[\p{{L}}\p{{M}}'’-]*"
 _UK = r"[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}"
@@ -227,8 +227,37 @@ def name_spans(flat: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
     return out
 
 
-def candidates(flat: str, lexicon: Lexicon) -> list[tuple[int, int, str, bool]]:
-    """Non-overlapping (start, end, type, sure) in reading order; surer and longer ones go first."""
+def label_starts(flat: str) -> dict[int, int]:
+    """Places where labelled numbers begin, with the places where their labels do."""
+    return {m.start("v"): m.start() for m in LABELLED.finditer(flat) if _digits(m["v"]) >= 6}
+
+
+def leads(flat: str, found: list[tuple[int, int, str, bool]], labels: dict[int, int]) -> list[tuple[str, str, str]]:
+    """Per candidate, for numbers: last word and last two words before it and its label, and the type it is joined to.
+
+    A number that a comma or a joining word ties to the candidate before it has that one's words.
+    """
+    out: list[tuple[str, str, str]] = []
+    for i, (s, _, kind, _) in enumerate(found):
+        if kind not in ("ID_NUMBER", "PHONE"):
+            out.append(("", "", ""))
+            continue
+        start = labels.get(s, s)
+        if i and out[-1][0] and found[i - 1][1] <= start and _JOINED.fullmatch(flat, found[i - 1][1], start):
+            out.append((*out[-1][:2], found[i - 1][2]))
+            continue
+        words = [m.group().lower() for m in _LEAD.finditer(flat, max(0, start - 60), start)]
+        words = ["^", "^", *("#" if w[0].isdigit() else "^" if w in ".!?\n" else w for w in words)]
+        out.append((words[-1], " ".join(words[-2:]), ""))
+    return out
+
+
+def candidates(flat: str, lexicon: Lexicon, labels: bool = True) -> list[tuple[int, int, str, bool]]:
+    """Non-overlapping (start, end, type, sure) in reading order; surer and longer ones go first.
+
+    Every number of an identity number's shape is one; without label, and in no telling shape, it is unsure, and so is a
+    phone number without country code that has such a shape. Without ``labels``, all are as if they had none.
+    """
     found: list[tuple[int, int, str, bool, int]] = []
     if "@" in flat:
         found += [(m.start(), m.end(), "EMAIL", True, 0) for m in EMAIL.finditer(flat)]
@@ -236,21 +265,21 @@ def candidates(flat: str, lexicon: Lexicon) -> list[tuple[int, int, str, bool]]:
         for p in SPELLED:
             found += [(m.start(), m.end(), "EMAIL", True, 0) for m in p.finditer(flat)]
     if any(c.isdigit() for c in flat):
-        for m in LABELLED.finditer(flat):
+        for m in LABELLED.finditer(flat) if labels else ():
             if _digits(m["v"]) >= 6:
                 found.append((*m.span("v"), "ID_NUMBER", True, 1))
         for p in BARE_IDS:
             found += [(m.start(), m.end(), "ID_NUMBER", True, 2) for m in p.finditer(flat)]
-        for m in CARRIED.finditer(flat):
-            if _digits(m["v"]) >= 6:
-                found.append((*m.span("v"), "ID_NUMBER", True, 2))
+        for m in SHAPED.finditer(flat):
+            if _digits(m.group()) >= 6:
+                found.append((*m.span(), "ID_NUMBER", False, 5))
         for p in PHONES:
             for m in p.finditer(flat):
                 s, e = m.span()
                 while e > s and not flat[e - 1].isdigit():
                     e -= 1
                 if 9 <= _digits(flat[s:e]) <= 15:
-                    found.append((s, e, "PHONE", True, 3))
+                    found.append((s, e, "PHONE", SHAPED.fullmatch(flat[s:e]) is None, 3))
         for p in ADDRESSES:
             for m in p.finditer(flat):
                 s, e = m.span()
@@ -267,4 +296,11 @@ def candidates(flat: str, lexicon: Lexicon) -> list[tuple[int, int, str, bool]]:
         if s < e and not any(used[s:e]):
             used[s:e] = b"\1" * (e - s)
             taken.append((s, e, kind, sure))
-    return sorted(taken)
+    taken.sort()
+    # a label holds for the numbers joined to the labelled one; after a comma or bar a phone number's shape may be one
+    for i in range(1, len(taken)):
+        (_, stop, before, known), (s, e, kind, sure) = taken[i - 1:i + 1]
+        if known and before == "ID_NUMBER" and not sure and kind in ("ID_NUMBER", "PHONE") and _JOINED.fullmatch(flat, stop, s):
+            if kind == "ID_NUMBER" or any(c.isalpha() for c in flat[stop:s]):
+                taken[i] = (s, e, "ID_NUMBER", True)
+    return taken

@@ -62,6 +62,16 @@ def test_personal_data(text, expected):
     assert spans(text) == expected
 
 
+@pytest.mark.parametrize("text,expected", [
+    ("The scanner kept travel document (passport) QY0056408 and 0060 2536 1711 from page 5236.", {"QY0056408", "0060 2536 1711"}),
+    ("Her identity number, 44051401458, was on the form.", {"44051401458"}), ("He presented PESEL: 08960142782 and 9998321122 at the desk.", {"08960142782", "9998321122"}),
+    ("We verified SSN 939 33 6161, 0402 9153 9829 and 00632684-T today.", {"939 33 6161", "0402 9153 9829", "00632684-T"}),
+    ("The column ref holds T95973205, KX-5598-16 and T05034745.", set()), ("Ticket T98765432 was closed.", set()),
+])
+def test_identity_numbers_without_label(text, expected):
+    assert spans(text) == {(v, "ID_NUMBER") for v in expected}
+
+
 def test_places_refer_to_the_text_as_written(spark):
     text = "mail: vossd᠎ottir᠎54@inverara‌m-analytics.test, tel 0770​0 900741"
     df = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "y"), (3, "", "z")], "id int, body string, value string")

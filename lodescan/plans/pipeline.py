@@ -159,6 +159,14 @@ def clean_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unit_id", "unit_name", F.size("findings").alias("n_findings"))
 
 
+def unit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scanned unit with the number of its clubs of all candidates; units without any have none."""
+    # the clubs without their values, which nothing here reads
+    clubs = base_candidates(spark, sf_dir).groupBy("unit_id", "detector", "category").agg(F.max("tier").alias("tier"), F.count("*").alias("total_count"))
+    rows = ops.with_clean_units(table(spark, sf_dir, "scan_units").select("unit_id", "unit_name"), clubs)
+    return rows.select("unit_id", "unit_name", F.size("findings").alias("n_findings"))
+
+
 def allow_list_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = latest(table(spark, sf_dir, "cells"), ["cell_id"], F.col("loaded_at")).where("cell_value <> ''")
     kept = ops.without_allowed(cells, table(spark, sf_dir, "allow_list"), "cell_value", "ref_value", [r"@staff\."])
@@ -246,7 +254,7 @@ def findings_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     column_profile, column_verdict, dominant_detector, dominance_antijoin, record_identity_promotion, context_cap, count_promotion, sibling_columns,
-    aggregate_threshold, dedup_findings, club_findings, clean_units, allow_list_antijoin, negative_fields, policy_lookup, overlap_resolution, min_confidence, score_floor,
+    aggregate_threshold, dedup_findings, club_findings, clean_units, unit_findings, allow_list_antijoin, negative_fields, policy_lookup, overlap_resolution, min_confidence, score_floor,
     cell_paths, values_seen, sheet_regroup, eval_precision_recall, incremental_filter, head_sample, findings_pipeline,
 )}
 _TIER = "CASE {0} WHEN 0 THEN 'possible' WHEN 1 THEN 'likely' WHEN 2 THEN 'very_likely' END"
@@ -291,6 +299,8 @@ GROUP BY ALL""",
     "club_findings": _BASE + f"SELECT unit_id, detector, category, {_TIER.format('max(tier)')} AS tier, count(*) AS total_count, count(DISTINCT value)::INT AS n_values FROM base GROUP BY unit_id, detector, category",
     "clean_units": _BASE + """SELECT u.unit_id, u.unit_name, coalesce(n, 0)::INT AS n_findings FROM scan_units u LEFT JOIN
         (SELECT unit_id, count(DISTINCT detector) AS n FROM base WHERE detector = 'VIN' AND tier = 2 GROUP BY unit_id) USING (unit_id)""",
+    "unit_findings": _BASE + """SELECT u.unit_id, u.unit_name, coalesce(n, 0)::INT AS n_findings FROM scan_units u LEFT JOIN
+        (SELECT unit_id, count(*) AS n FROM (SELECT DISTINCT unit_id, detector, category FROM base) GROUP BY unit_id) USING (unit_id)""",
     "allow_list_antijoin": _CELLS + """SELECT unit_id, count(*) AS cells FROM c WHERE cell_value <> '' AND NOT contains(cell_value, '@staff.')
         AND NOT EXISTS (SELECT 1 FROM allow_list a WHERE a.ref_value = c.cell_value) GROUP BY unit_id""",
     "negative_fields": _BASE + """SELECT CASE WHEN ends_with(col, 'ref') THEN 'order_ref' ELSE col END AS "column", detector, count(*) AS kept FROM base

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodescan.engine.detectors import DEMO_DOMAINS, DEMO_ENDINGS, HEALTH_WORDS
+from lodescan.engine.detectors import DEMO_DOMAINS, DEMO_ENDINGS, HEALTH_WORDS, credentials
 from lodescan.engine.fields import field_table
-from lodescan.engine.scan import ScanConfig, find_candidates
+from lodescan.engine.scan import ScanConfig, find_candidates, without_overlaps
 from lodescan.engine.tiers import rank_name
 from lodescan.functions import native as N
 from lodescan.operators.cells import columnar_cells, document_cells, values_seen
 from lodescan.operators.findings import classify
-from lodescan.runtime import latest, table
+from lodescan.runtime import latest, ship, spread, table
 
 WORKER_REGIONS = ("US", "IN", "GB")
 
@@ -70,6 +70,32 @@ def entropy_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("value", F.round(N.entropy(F.col("value")), 4).alias("bits"))
 
 
+ASSIGNED = ("OAuth Token", "API Key", "Bearer Token")
+
+
+def key_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value assigned to a key of an interface, an OAuth or a bearer token in the texts, by the detectors' own patterns and shape test."""
+    return assigned(_texts(spark, sf_dir).select("blob_id", "text"), "text").select("blob_id", "detector", "value", F.length("value").alias("length"))
+
+
+def assigned(df: DataFrame, text: str) -> DataFrame:
+    ship(df.sparkSession)
+
+    @F.udf("array<struct<detector:string,value:string>>")
+    def found(t: str) -> list[tuple[str, str]]:
+        hits = [h for h in credentials(t, None) if h["detector"] in ASSIGNED and not h.get("encoded")]
+        return [(h["detector"], h["value"]) for h in without_overlaps(hits)]
+
+    rest = [c for c in df.columns if c != text]
+    return spread(df).where(F.col(text).isNotNull()).select(*rest, found.asNondeterministic()(text).alias("_found")).select(*rest, F.inline("_found"))
+
+
+def opaque_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of every different opaque run of 20 or more characters in the texts."""
+    found = _found(_texts(spark, sf_dir), "text", "([A-Za-z0-9/+=_~-]{20,})", "blob_id").select("value").distinct()
+    return found.select("value", F.round(N.entropy(F.col("value")), 4).alias("bits"))
+
+
 def fingerprint_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("cell_id", N.fingerprint(F.col("cell_value")).alias("value_hash"))
 
@@ -157,7 +183,7 @@ def classify_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    customer_cells, flatten_json_props, card_luhn_iin, ipv4_public_private, email_reason, phone_intl_candidates, token_assignment, entropy_of_tokens,
+    customer_cells, flatten_json_props, card_luhn_iin, ipv4_public_private, email_reason, phone_intl_candidates, token_assignment, entropy_of_tokens, key_assignments, opaque_entropy,
     fingerprint_values, luhn_validator, iban_mod97, aba_checksum, verhoeff, filler_numbers, text_line_locator, healthcare_keywords, field_words,
     scan_cells, scan_texts, classify_cells,
 )}
@@ -202,6 +228,9 @@ ORACLES = {
     "entropy_of_tokens": _T + """, v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[Cc]hecksum ([0-9a-f]{16,64})', 1)) AS value FROM t),
         k AS (SELECT value, ch, count(*) / length(value) AS p FROM (SELECT value, unnest(string_split(value, '')) AS ch FROM v) WHERE ch <> '' GROUP BY value, ch)
         SELECT value, round(-sum(p * log2(p)), 4) AS bits FROM k GROUP BY value""",
+    "opaque_entropy": _T + """, v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z0-9/+=_~-]{20,})', 1)) AS value FROM t),
+        k AS (SELECT value, ch, count(*) / length(value) AS p FROM (SELECT value, unnest(string_split(value, '')) AS ch FROM v) WHERE ch <> '' GROUP BY value, ch)
+        SELECT value, round(-sum(p * log2(p)), 4) AS bits FROM k GROUP BY value""",
     "fingerprint_values": _C + "SELECT cell_id, sha256(cell_value)[1:16] AS value_hash FROM c",
     "luhn_validator": f"SELECT value, coalesce(length(d) BETWEEN 13 AND 19 AND {_LUHN.format('d')}, false) AS ok FROM (SELECT value, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ("
         + _values([(v,) for v in _NUMBERS], "value") + "))",

@@ -11,6 +11,8 @@ from lodescan.engine.rules import catalogue
 from lodescan.engine.scan import ScanConfig, find_candidates, scan_value, without_overlaps
 from lodescan.engine.tiers import rank_of
 from lodescan.engine.tokens import decoded, entropy, jwt_parts, shape, vendor_formats, vendor_tokens
+from lodescan.plans import pipeline, values
+from lodescan.plans.values import assigned
 
 WORKER = ScanConfig(regions=("US", "IN", "GB"))
 # detector, a value that passes its check
@@ -130,6 +132,26 @@ def test_find_candidates_loses_nothing_that_scan_value_reports(spark):
     assert {(r.text, r.field, r.detector, r.start_ix) for r in found} == want
 
 
+def test_assignments_of_all_keys_are_found(spark):
+    value = "q7Rk2Zp9Xw4Tn8Vb1Lc6"
+    texts = [f"{key}{value}" for key in ("token=", "api_key: ", "secret=", "client_secret => ", "access_token=", "Authorization: Bearer ", "X-Api-Key: ")]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "token=xxxxxxxxxxxxxxxxxxxx", "checksum 0123456789abcdef0123", None])], "blob_id int, text string")
+    found = [(r.blob_id, r.detector, r.value) for r in assigned(rows, "text").collect()]
+    assert sorted((i, v) for i, _, v in found) == [(i, value) for i in range(len(texts))]
+    assert {i: d for i, d, _ in found} == {0: "Bearer Token", 1: "API Key", 2: "API Key", 3: "API Key", 4: "OAuth Token", 5: "Bearer Token", 6: "API Key"}
+
+
+def test_entropy_and_units_cover_more_than_one_wording(spark, tmp_path):
+    run = "q7Rk2Zp9Xw4Tn8Vb1Lc6"
+    spark.createDataFrame([(1, f"see {run}, or checksum abc", "2024-01-01"), (2, None, "2024-01-01")], "blob_id int, text string, loaded_at string").write.parquet(f"{tmp_path}/text_blobs.parquet")
+    assert [(r.value, r.bits) for r in values.opaque_entropy(spark, str(tmp_path)).collect()] == [(run, round(entropy(run), 4))]
+    spark.createDataFrame([("u", "a"), ("clean", "b")], "unit_id string, unit_name string").write.parquet(f"{tmp_path}/scan_units.parquet")
+    one = [(i, "u", 1, "c", d, "PII", "High", "v", "likely", 0, 3, 0.85, "2024-01-01") for i, d in enumerate(("Email", "Address", "Email"))]
+    spark.createDataFrame(one, "candidate_id long, unit_id string, record_ix long, cell_key string, detector string, category string, severity string, value_hash string, "
+                          "confidence string, start_ix int, end_ix int, score double, loaded_at string").write.parquet(f"{tmp_path}/candidates.parquet")
+    assert {(r.unit_id, r.n_findings) for r in pipeline.unit_findings(spark, str(tmp_path)).collect()} == {("u", 2), ("clean", 0)}
+
+
 def made_after(pattern, rng):
     """A text made by walking a pattern, choosing at random."""
     out = ""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS, SEED = 2048, 20170
 LANGUAGES = ["en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "tr", "ru", "ja"]
-#: price of a change of language between sentences, in cosine times SHARPNESS
+#: price of a change of language between sentences, in cosine times SHARPNESS; less between close languages
 SHARPNESS, CHANGE = 40.0, 6.0
 MODEL = "models/language_prototypes.npy"
 
@@ -101,6 +101,7 @@ class Profiles:
     def __init__(self, prototypes: np.ndarray, most_triples: int = 400_000):
         p = prototypes.astype(np.float32)
         self.unit = p / np.linalg.norm(p, axis=1, keepdims=True)
+        self.price = prices(self.unit)
         self.most = most_triples
         self.place: dict[int, int] = {}
         self.dots = np.zeros((1024, len(p)), dtype=np.float32)
@@ -143,14 +144,26 @@ class Profiles:
         return out
 
 
-def best_path(scores: np.ndarray, change: float = CHANGE) -> np.ndarray:
-    """Language of each sentence: greatest sum of scores less ``change`` for every switch."""
+def prices(unit: np.ndarray) -> np.ndarray:
+    """Price of a change between each two languages: in proportion to the distance of their prototypes up to the median one.
+
+    Sentences of close languages differ less in cosine, so that a full price would swallow short stretches.
+    """
+    apart = 1 - unit @ unit.T
+    usual = np.median(apart[~np.eye(len(unit), dtype=bool)])
+    return CHANGE * np.minimum(1, np.maximum(apart, 0) / usual)
+
+
+def best_path(scores: np.ndarray, change: float | np.ndarray = CHANGE) -> np.ndarray:
+    """Language of each sentence: greatest sum of scores less ``change`` (one price, or one per pair) for every switch."""
     n, k = scores.shape
+    price = np.broadcast_to(np.asarray(change, dtype=np.float64), (k, k))
     back = np.zeros((n, k), dtype=np.int64)
     total = scores[0].astype(np.float64)
     for i in range(1, n):
-        top = int(total.argmax())
-        switch = total[top] - change
+        ways = total[:, None] - price
+        top = ways.argmax(axis=0)
+        switch = ways[top, np.arange(k)]
         back[i] = np.where(total >= switch, np.arange(k), top)
         total = np.maximum(total, switch) + scores[i]
     path = np.empty(n, dtype=np.int64)
@@ -180,7 +193,7 @@ def stretches(text: str, profiles: Profiles) -> list[tuple[int, int, int, str, f
         return []
     cos = profiles.cosines([s[2] for s in found])
     scores = SHARPNESS * cos
-    path = without_lone(best_path(scores), scores)
+    path = without_lone(best_path(scores, profiles.price), scores)
     out, first = [], 0
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[first]:

@@ -1,5 +1,6 @@
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,15 @@ def test_vectors_of_orders_differ():
 
     a, b = LG.bundle("abcabc"), LG.bundle("cbacba")
     assert abs(a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 0.5 and np.array_equal(a, LG.bundle("abcabc"))
+
+
+def test_short_stretches_of_close_languages_are_kept():
+    """Two sentences whose summed lead in cosine is under the full price of a change, over that of this pair."""
+    profiles = LG.Profiles(LG.trained())
+    es, pt, ru = (LG.LANGUAGES.index(x) for x in ("es", "pt", "ru"))
+    assert profiles.price[es, pt] < LG.CHANGE / 2 and profiles.price[es, ru] == LG.CHANGE and np.allclose(profiles.price.diagonal(), 0, atol=1e-4)
+    scores = np.zeros((8, len(LG.LANGUAGES)))
+    scores[:, pt], scores[3:5, es] = 20, 22.5
+    assert LG.best_path(scores, profiles.price).tolist() == [pt] * 3 + [es] * 2 + [pt] * 3
+    scores[:, ru], scores[:, pt] = scores[:, pt], 0
+    assert LG.best_path(scores, profiles.price).tolist() == [ru] * 8

@@ -36,7 +36,9 @@ NOTATIONS = {
     "pl": "pl pol polish polski", "tr": "tr tur turkish türkçe turkce", "ru": "ru rus russian русский",
     "ja": "ja jpn japanese 日本語",
 }
-_MACHINE = re.compile(r"\{[^{}\n]*\}|\S*[\d=/\\{}<>|#@_\[\]§]\S*")
+# a run of machine text ends at Japanese characters too, whose sentences have no blanks
+_RUN = r"[^\s\u3001-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff61-\uff9f\U00020000-\U0003ffff]*"
+_MACHINE = re.compile(rf"\{{[^{{}}\n]*\}}|{_RUN}[\d=/\\{{}}<>|#@_\[\]§]{_RUN}")
 _QUOTED = re.compile(r"\(?[\"“„«「][^\"“”„»」\n]{0,200}[\"”»」]\)?")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])|\n+")
 _WORD = re.compile(r"[^\W\d_]+")

@@ -181,3 +181,12 @@ def test_short_stretches_of_close_languages_are_kept():
     assert LG.best_path(scores, profiles.price).tolist() == [pt] * 3 + [es] * 2 + [pt] * 3
     scores[:, ru], scores[:, pt] = scores[:, pt], 0
     assert LG.best_path(scores, profiles.price).tolist() == [ru] * 8
+
+
+def test_machine_text_ends_at_japanese_characters():
+    text = "担当者は毎週3回すべての記録を確認しています。古い一覧はlogs/a.txtに保存されています。"
+    assert [(s, e) for s, e, _ in LG.sentences(text)] == [(0, 23), (23, len(text))]
+    assert LG.sentences("担当者は毎週3回すべての記録を確認しています。")[0][2] == "担当者は毎週 回すべての記録を確認しています"
+    assert [w for _, _, w in LG.sentences("See logs/aé.txt before the next release.")] == ["see before the next release"]
+    inside = LG.stretches(EN + "この接続はしきい値が低いのに文脈のない記録を報告しました。" + "古い索引は前回の公開以来文3脈のない記録を移しました。\\n" + EN, LG.Profiles(LG.trained()))
+    assert [s[3] for s in inside] == ["en", "ja", "en"]

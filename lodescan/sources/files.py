@@ -27,7 +27,9 @@ from lodescan.runtime import ship
 
 MOST_BYTES = 100 << 20
 ARCHIVE_DEPTH, ARCHIVE_BYTES = 3, 1 << 30
-SNIFF_BYTES, BLOCK_LINES, LINE_CHARS, TEXT_BYTES, CSV_CHUNK = 8192, 1000, 200_000, 8 << 20, 5000
+SNIFF_BYTES, BLOCK_LINES, BLOCK_CHARS, CSV_CHUNK = 8192, 1000, 8 << 20, 5000
+#: lines longer than this are split, into parts that share so much with the part before
+LINE_CHARS, LINE_OVERLAP = 200_000, 10_000
 # Texts that stand for a missing value in delimited files.
 MISSING = frozenset(["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"])
 
@@ -208,35 +210,66 @@ def is_binary(data: bytes) -> bool:
     return b"\0" in head or odd > 0.3 * max(1, len(head))
 
 
+def _lines(data: bytes) -> Iterator[str]:
+    line = "\n"
+    for line in io.TextIOWrapper(io.BytesIO(data), "utf-8", "replace", newline="\n"):
+        yield line.removesuffix("\n").rstrip("\r")
+    if line.endswith("\n"):
+        yield ""
+
+
 def text_file(unit: str, data: bytes) -> Iterator[Row]:
-    """Blocks of lines; binary content gives none; over-long lines and files are cut at the reader's limits."""
+    """Blocks of lines; binary content gives none. An over-long line gives blocks of its own, each with the end of the one before."""
     if is_binary(data):
         return
-    lines = data[:TEXT_BYTES].decode("utf-8", "replace").split("\n")
-    for n, start in enumerate(range(0, len(lines), BLOCK_LINES)):
-        text = "\n".join(x.rstrip("\r")[:LINE_CHARS] for x in lines[start:start + BLOCK_LINES])
-        if text.strip():
-            yield _blob(unit, n, text, "text", start)
-
+    n, start, block, size = 0, 0, [], 0
 
-def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Files within an archive, as long as their sizes stay within the bound."""
+    def done(lines: list[str], first: int) -> Iterator[Row]:
+        text = "\n".join(lines)
+        if text.strip():
+            yield _blob(unit, n, text, "text", first)
+
+    for at, line in enumerate(_lines(data)):
+        if len(line) > LINE_CHARS:
+            if block:
+                yield from done(block, start)
+                n += 1
+            for place in range(0, len(line) - LINE_OVERLAP, LINE_CHARS - LINE_OVERLAP):
+                yield from done([line[place:place + LINE_CHARS]], at)
+                n += 1
+            block, size = [], 0
+            continue
+        if not block:
+            start = at
+        block.append(line)
+        size += len(line)
+        if len(block) == BLOCK_LINES or size >= BLOCK_CHARS:
+            yield from done(block, start)
+            n, block, size = n + 1, [], 0
+    yield from done(block, start)
+
+
+def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes | None]]:
+    """Files within an archive, without content where it is left out: together they stay within the bound."""
     left = ARCHIVE_BYTES
     if name.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for i in z.infolist():
-                if not i.is_dir() and (left := left - i.file_size) >= 0:
-                    yield i.filename, z.read(i)
+                if not i.is_dir():
+                    fits = i.file_size <= left
+                    left -= i.file_size if fits else 0
+                    yield i.filename, z.read(i) if fits else None
     elif re.search(r"\.(tar|tgz|tar\.gz|tar\.bz2)$", name):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for i in t:
-                if i.isfile() and ".." not in PurePosixPath(i.name).parts and (left := left - i.size) >= 0:
-                    yield i.name, t.extractfile(i).read()
+                if i.isfile():
+                    fits = ".." not in PurePosixPath(i.name).parts and i.size <= left
+                    left -= i.size if fits else 0
+                    yield i.name, t.extractfile(i).read() if fits else None
     else:
         opened = gzip.GzipFile(fileobj=io.BytesIO(data)) if name.endswith(".gz") else bz2.BZ2File(io.BytesIO(data))
         inner = opened.read(ARCHIVE_BYTES + 1)
-        if len(inner) <= ARCHIVE_BYTES:
-            yield PurePosixPath(name).stem, inner
+        yield PurePosixPath(name).stem, inner if len(inner) <= ARCHIVE_BYTES else None
 
 
 READERS = {
@@ -265,19 +298,27 @@ def parquet_file(unit: str, data: bytes) -> Iterator[Row]:
 READERS[".parquet"] = parquet_file
 
 
+def _error(unit: str, e: Exception) -> Row:
+    return unit, "error", None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]
+
+
 def parse(unit: str, name: str, data: bytes, depth: int = 0) -> Iterator[Row]:
     """Rows of one file by its ending; any other ending is text. Errors become a row of kind ``error``."""
     lowered = name.lower()
     ending = PurePosixPath(lowered).suffix
     try:
         if ending in ARCHIVES:
-            if depth < ARCHIVE_DEPTH:
-                for member, content in _members(lowered, data):
+            if depth >= ARCHIVE_DEPTH:
+                raise ValueError("archive left out: nested too deep")
+            for member, content in _members(lowered, data):
+                if content is None:
+                    yield _error(f"{unit}#{member}", ValueError("left out: over the bound of its archive or outside of it"))
+                else:
                     yield from parse(f"{unit}#{member}", member, content, depth + 1)
         else:
             yield from READERS.get(ending, text_file)(unit, data)
     except Exception as e:  # noqa: BLE001 - whatever is wrong with one file must not stop the others
-        yield unit, "error", None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]
+        yield _error(unit, e)
 
 
 def read_files(spark: SparkSession, path: str, *, since: str | None = None, most_bytes: int = MOST_BYTES, glob: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodescan.evaluate import scores, span_scores
 from lodescan.operators.cells import columnar_cells
 from lodescan.operators.findings import clubbed, sheet_of
+from lodescan.sources import files
 from lodescan.sources.files import parse, read_files
 from lodescan.sources.sinks import report_rows, write_report
 from lodescan.sources.tables import changed_since, limited, plain_item, reader_endpoint, sample_percent, text_fields, user_relations
@@ -23,6 +24,27 @@ def blobs(name, data):
     return [(r[8], r[7], r[9]) for r in parse("u", name, data) if r[1] == "blob"]
 
 
+def test_long_texts_are_read_to_their_end():
+    text = "first\n" + "a" * 199_990 + " mail jane.doe@acme-corp.de " + "b" * 300_000 + "\n" + ("x" * 999 + "\n") * 9_000 + "last"
+    found = [(r[3], r[7], r[9]) for r in parse("u", "a.log", text.encode()) if r[1] == "blob"]
+    assert [x[0] for x in found] == list(range(len(found))) and found[-1][1].endswith("last") and found[-1][2] + found[-1][1].count("\n") == 9_002
+    assert any("jane.doe@acme-corp.de" in x[1] and x[2] == 1 for x in found) and "".join(x[1] for x in found).count("b") >= 300_000
+    assert sum(x[1].count("x") for x in found) == 9_000 * 999
+    assert blobs("b.log", b"one\r\ntwo\n") == [("text", "one\ntwo\n", 0)]
+
+
+def test_what_an_archive_leaves_out_is_reported(monkeypatch):
+    monkeypatch.setattr(files, "ARCHIVE_BYTES", 10)
+    rows = list(parse("o.zip", "o.zip", _zip(big_dot_txt="x" * 11, small_dot_txt="hello")))
+    assert [(r[0], r[1]) for r in rows] == [("o.zip#big.txt", "error"), ("o.zip#small.txt", "blob")] and "left out" in rows[0][10]
+    assert [r[1] for r in parse("u", "big.txt.gz", gzip.compress(b"x" * 11))] == ["error"]
+    monkeypatch.undo()
+    deep = _zip(a_dot_txt="deep")
+    for _ in range(3):
+        deep = _zip(in_dot_zip=deep)
+    assert [r[1] for r in parse("u", "u.zip", deep)] == ["error"]
+
+
 def test_delimited():
     assert cells("a.csv", b"name,email\nAnn,a@b.c\nBob,NA\nx,y,z\n") == [("name", "Ann", "Chunk 0, Row 0, Column 'name'"), ("email", "a@b.c", "Chunk 0, Row 0, Column 'email'"),
                                                                     ("name", "Bob", "Chunk 0, Row 1, Column 'name'")]

@@ -107,3 +107,17 @@ def test_weights_favour_good_documents(spark):
 def test_quality(spark, text, least, most):
     q = spark.createDataFrame([(text,)], "t string").select(M.quality(F.col("t"))).first()[0]
     assert least <= q <= most
+
+
+def test_budget_is_filled_from_documents_far_behind_its_end(spark, monkeypatch):
+    """With one document tried at the end, later ones still fill the room, as in one pass over all in key order."""
+    docs = spark.createDataFrame([(i, "a", 10 if i % 20 == 0 else 1000, 1.0) for i in range(3000)] + [(10_000 + i, "b", 7, 1.0) for i in range(300)], "doc_id long, source string, tokens long, weight double")
+    targets = spark.createDataFrame([("m", "a", 0.9, 1), ("m", "b", 0.1, 1)], "mix_id string, source string, share double, max_repeats int")
+
+    def chosen():
+        return {(r.source, r.doc_id, r.copies) for r in M.mix_documents(docs, targets, ranges=64).collect()}
+
+    monkeypatch.setattr(M, "EDGE_DOCS", 10_000)
+    whole = chosen()
+    monkeypatch.setattr(M, "EDGE_DOCS", 1)
+    assert chosen() == whole

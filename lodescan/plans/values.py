@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodescan.engine.detectors import DEMO_DOMAINS, DEMO_ENDINGS, HEALTH_WORDS, credentials
+from lodescan.engine.credentials import credentials
+from lodescan.engine.money import HEALTH_WORDS
+from lodescan.engine.personal import DEMO_DOMAINS, DEMO_ENDINGS
+from lodescan.engine.reading import Reading
 from lodescan.engine.fields import field_table
 from lodescan.engine.scan import ScanConfig, find_candidates, without_overlaps
 from lodescan.engine.tiers import rank_name
@@ -83,8 +86,8 @@ def assigned(df: DataFrame, text: str) -> DataFrame:
 
     @F.udf("array<struct<detector:string,value:string>>")
     def found(t: str) -> list[tuple[str, str]]:
-        hits = [h for h in credentials(t, None) if h["detector"] in ASSIGNED and not h.get("encoded")]
-        return [(h["detector"], h["value"]) for h in without_overlaps(hits)]
+        hits = [h for h in credentials(Reading(t)) if h.detector in ASSIGNED and not h.encoded]
+        return [(h.detector, h.value) for h in without_overlaps(hits)]
 
     rest = [c for c in df.columns if c != text]
     return spread(df).where(F.col(text).isNotNull()).select(*rest, found.asNondeterministic()(text).alias("_found")).select(*rest, F.inline("_found"))

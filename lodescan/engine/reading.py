@@ -98,6 +98,10 @@ class Reading:
         found = list(_PLAIN.finditer(self.text))
         return [m.start() for m in found], [m.group().lower() for m in found]
 
+    @property
+    def plain_words(self) -> list[str]:
+        return self._plain[1]
+
     def around(self, start: int, end: int, before: int = 120, after: int = 60) -> list[str]:
         """Words that begin at most so many characters before a span or after it."""
         starts, words = self._spoken

@@ -7,6 +7,7 @@ import json
 import math
 import pkgutil
 import re
+import re._parser as parser
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -99,15 +100,15 @@ def _needed(branch: str) -> list[str]:
 
 
 @lru_cache(1)
-def vendor_gates() -> tuple[tuple[str, re.Pattern, tuple[str, ...], bool], ...]:
-    """Detector, pattern, needed texts (none: any long run will do) and whether letter case is free, per format."""
+def vendor_gates() -> tuple[tuple[str, re.Pattern, tuple[str, ...], bool, int], ...]:
+    """Detector, pattern, needed texts (none: any long run will do), whether letter case is free, and least length, per format; the shortest first."""
     out = []
     for name, pattern in vendor_formats():
         needs = [_needed(b) for b in _branches(pattern.pattern)]
         free = bool(pattern.flags & re.IGNORECASE)
         texts = tuple(t.lower() if free else t for n in needs for t in n) if all(needs) else ()
-        out.append((name, pattern, texts, free))
-    return tuple(out)
+        out.append((name, pattern, texts, free, parser.parse(pattern.pattern, pattern.flags).getwidth()[0]))
+    return tuple(sorted(out, key=lambda gate: gate[4]))
 
 
 _LONG_RUN = re.compile(r"[^\s\"'<>(){},;]{16}")
@@ -116,7 +117,9 @@ _LONG_RUN = re.compile(r"[^\s\"'<>(){},;]{16}")
 def vendor_tokens(text: str) -> Iterator[tuple[str, int, int]]:
     """(detector, start, end) of the vendor tokens of a text; a pattern runs only if the text holds what it needs."""
     lowered = long_run = None
-    for name, pattern, needed, free in vendor_gates():
+    for name, pattern, needed, free, width in vendor_gates():
+        if len(text) < width:
+            return
         if needed:
             if free and lowered is None:
                 lowered = text.lower()

@@ -38,8 +38,38 @@ def p2_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolled_up(partials(table(spark, sf_dir, "candidates"), dims, _value()), dims)
 
 
-QUERIES = {"p2_found": p2_found, "p2_daily": p2_daily, "p2_groups": p2_groups, "p2_combinations": p2_combinations}
+#: levels whose estimates are compared with exact counts, and the error allowed in standard deviations
+LEVELS = {"daily": ["scan_date"], "groups": ["scan_date", "unit_id", "detector", "cell_key"], "combinations": ["unit_id", "detector", "cell_key"]}
+ALLOWED = 5
+
+
+def p2_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per level the number of groups and of those whose estimate is further from the exact count than the stated error allows.
+
+    A check of the sketches, not a way to count: the exact counts need every different value of every group.
+    """
+    out = None
+    for level, keys in LEVELS.items():
+        rows = table(spark, sf_dir, "candidates").select(*keys, _value().alias("v")).where("v is not null")
+        exact = rows.groupBy(*keys).agg(F.count_distinct("v").alias("exact"))
+        got = distinct_by(rows, keys, F.col("v")).select(*[F.col(k).alias(f"_{k}") for k in keys], "estimate", "relative_error")
+        on = None
+        for k in keys:
+            same = F.col(k).eqNullSafe(F.col(f"_{k}"))
+            on = same if on is None else on & same
+        far = F.abs(F.col("estimate") - F.col("exact")) > F.greatest(F.lit(0.6), ALLOWED * F.col("relative_error") * F.col("exact"))
+        counts = exact.join(got, on, "left").agg(F.count("*").alias("groups"), F.count_if(F.coalesce(far, F.lit(True))).alias("outside"))
+        counts = counts.select(F.lit(level).alias("level"), "groups", "outside")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+QUERIES = {"p2_within": p2_within, "p2_found": p2_found, "p2_daily": p2_daily, "p2_groups": p2_groups, "p2_combinations": p2_combinations}
 ORACLES = {
+    "p2_within": " UNION ALL ".join(
+        f"SELECT '{level}' AS level, count(*) AS groups, 0::BIGINT AS outside FROM (SELECT DISTINCT {', '.join(keys)} FROM candidates WHERE value_hash IS NOT NULL)"
+        for level, keys in LEVELS.items()
+    ),
     "p2_found": """
 SELECT p.profile_id
 FROM column_profiles p LEFT JOIN candidates c

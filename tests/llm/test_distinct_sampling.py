@@ -35,14 +35,36 @@ def test_estimator_is_unbiased_within_its_error():
         assert abs(np.mean(ratios) - 1) < 0.03 and np.std(ratios) < 1.5 * D.standard_error(p)
 
 
-def test_merging_loses_nothing(spark):
+@pytest.mark.parametrize("buffer", [50, D.BUFFER])
+def test_merging_loses_nothing(spark, monkeypatch, buffer):
+    monkeypatch.setattr(D, "BUFFER", buffer)
     df = spark.range(5000).select((F.col("id") % 7).alias("day"), (F.col("id") % 997).cast("string").alias("v"))
     parts = D.partials(df, ["day"], F.col("v"))
-    stored = D.unpacked(D.packed(parts, ["day"]), ["day"])
-    whole = D.estimated(D.partials(df.withColumn("a", F.lit(1)), ["a"], F.col("v")), ["a"]).first().estimate
-    merged = D.estimated(stored.withColumn("a", F.lit(1)), ["a"]).first().estimate
-    assert merged == pytest.approx(whole)
-    assert D.packed(parts, ["day"]).agg(F.max(F.size("sketch"))).first()[0] <= 4096
+    whole = D.partials(df.withColumn("a", F.lit(1)), ["a"], F.col("v")).first().sketch
+    again = D.merged(parts.withColumn("a", F.lit(1)).drop("day"), ["a"]).first().sketch
+    assert whole == again and parts.agg(F.max(F.length("sketch"))).first()[0] <= 4096
+    assert D.merged(parts.drop("day"), []).first().sketch == whole
+
+
+def test_states_keep_the_greatest_rank_and_two_below():
+    ranks = np.asarray([1, 0b10, 0b1011, 0b100100, 1 << 52, (1 << 52) | (1 << 51) | 7], dtype=np.uint64)
+    want = [(r.bit_length() << 2) | ((r << 2) >> (r.bit_length() - 1) & 3) for r in ranks.tolist()]
+    assert D.state_of(ranks).tolist() == want
+    assert D.state_of(D.window(D.state_of(ranks))).tolist() == want
+    reg = np.asarray([0, 5, 300, 4095])
+    for n in (1, 4):
+        back = D.unpacked(D.packed(reg[:n], np.asarray(want[:n])))
+        assert back[0].tolist() == reg[:n].tolist() and back[1].tolist() == want[:n]
+    full = np.arange(4096)
+    assert len(D.packed(full, np.full(4096, 5))) == 4096 and D.unpacked(D.packed(full, np.full(4096, 5)))[1].tolist() == [5] * 4096
+
+
+def test_bundles_of_tasks_give_the_same(spark, monkeypatch):
+    df = spark.range(3000).repartition(6).select((F.col("id") % 3).alias("day"), F.col("id").cast("string").alias("v"))
+    want = {r.day: r.sketch for r in D.partials(df, ["day"], F.col("v")).collect()}
+    monkeypatch.setattr(D, "table_bytes", lambda df: 1 << 60)
+    monkeypatch.setattr(D, "BUNDLE", 2)
+    assert {r.day: r.sketch for r in D.partials(df, ["day"], F.col("v")).collect()} == want
 
 
 def test_nulls_empty_and_case(spark):

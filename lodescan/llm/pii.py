@@ -1,17 +1,23 @@
 """Personal data in free text by a skip-chain conditional random field.
 
-Tokens carry one of six labels (none, mail address, phone number, identity number, postal address, name).
-Neighbours share transition potentials; each occurrence of a capitalised word of four letters or more is also
-tied to its next occurrence in the document, however far away, and ties favour equal labels. Marginals are found by
-loopy message passing: forward and backward passes over the chains alternate with messages over the ties.
-Potentials of single tokens come from the candidate patterns, a lexicon of names and the words around.
-
-Texts are cut into chains at line and sentence ends, and the chains of a whole batch are passed at once, so that
-a text of any length is handled; ties run across the chains of a document.
+Every token carries one of eleven labels: none, or the first or a further token of a mail address, phone number, identity
+number, postal address or name. Neighbours share transition potentials. Each occurrence of a capitalised word of four
+letters or more, and of a number of four digits or more, is also tied to its next occurrence in the text, however far
+away; the two ends of a tie share a potential, so that what is clear in one place counts in the other. Marginals are found
+by loopy message passing: forward and backward passes over the chains alternate with messages over the ties.
+
+Potentials of single tokens weigh the word, its neighbours, its shape and what lists say of it, forms of numbers, mail
+and postal addresses it lies in, and the words before such a form. The labels alone decide what an entity is and where it
+begins and ends; exact conditions (digits, word ends) follow. The weights are fitted on texts whose personal data is known
+because the texts were made of labelled columns and templates (``pii_synthetic``).
+
+The texts of a batch are handled as one: forms are searched in the joined texts, words are weighed once each, and all chains
+are passed at the same time. A text of any length is handled; it is cut into chains, and ties run across them.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import pkgutil
 import re
@@ -26,34 +32,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodescan.engine.checks import VALIDATORS
-from lodescan.llm.pii_patterns import ORGANISATIONS, STREETS, TITLES, TOKEN, TYPES, Lexicon, candidates, flattened, label_starts, leads, name_key
+from lodescan.llm.pii_patterns import (
+    BREAK, CLASSES, GROUPS, JOINED, NUMBERS, PIECE, TITLES, TYPES, beginnings, flattened, form, matches, name_key, shape, word_class,
+)
 
-LABELS = ["O", *TYPES]
-INDEX = {x: i for i, x in enumerate(LABELS)}
+LABELS = ["O", *[f"{p}-{t}" for t in TYPES for p in "BI"]]
 K = len(LABELS)
-MODEL = "models/pii_crf.json"
-CHAIN_TOKENS, TIE_LETTERS, ROUNDS = 192, 4, 3
-_STREET, _ORG = frozenset(STREETS), frozenset(ORGANISATIONS)
-
-
-def shape(token: str) -> str:
-    if token.isdigit():
-        return f"d{min(len(token), 5)}"
-    if not token[:1].isalpha():
-        return token[:1]
-    if len(token) == 1:
-        return "X" if token.isupper() else "x"
-    return "XX" if token.isupper() else "Xx" if token[:1].isupper() else "xx"
-
-
-#: checks of identity numbers that may stand without a label
-CHECKS = ("UK_NHS", "PL_PESEL", "IN Aadhaar", "DE_TAX_ID", "ES_NIF", "ES_NIE")
+TYPE_OF = np.asarray([-1, *[i for i in range(len(TYPES)) for _ in "BI"]])
+MODEL = "models/pii_crf.npz"
+CHAIN_TOKENS, LEAST_CHAIN, TIE_LETTERS, ROUNDS = 128, 32, 4, 3
+#: neighbours whose words are weighed, and the two words before the form a token lies in
+PLACES = (0, -1, 1, -2, 2)
+LEADS = 2
+_SLOTS = len(PLACES) + LEADS
+_N = len(CLASSES)
+#: checks of identity numbers by the number of their digits
+CHECKS = {8: ("ES_NIF",), 7: ("ES_NIE",), 10: ("UK_NHS",), 11: ("PL_PESEL", "DE_TAX_ID"), 12: ("IN Aadhaar",)}
 
 
 def checked(value: str) -> bool:
     """Whether a check digit or letter of some kind of identity number is right."""
     bare = re.sub(r"[ .-]", "", value)
-    for name in CHECKS:
+    for name in CHECKS.get(sum(c.isdigit() for c in bare), ()):
         try:
             if VALIDATORS[name](bare):
                 return True
@@ -62,177 +62,270 @@ def checked(value: str) -> bool:
     return False
 
 
-def form(value: str) -> str:
-    """Lengths of the runs of digits of a number and the marks between them."""
-    return re.sub(r"[A-Za-z]+", "A", re.sub(r"[0-9]+", lambda m: str(len(m.group())), value))
-
-
-def token_features(
-    flat: str, spans: list[tuple[int, int]], found: list[tuple[int, int, str, bool]], lexicon: Lexicon, labelled: bool = True
-) -> list[list[str]]:
-    """Names of the active features of every token; if not ``labelled``, a number's label is passed over."""
-    words = [flat[s:e] for s, e in spans]
-    inside = [""] * len(spans)
-    numbers = any(kind in ("ID_NUMBER", "PHONE") for _, _, kind, _ in found)
-    labels = label_starts(flat) if numbers else {}
-    led = leads(flat, found, labels) if numbers else [("", "", "")] * len(found)
-    lead: list[list[str]] = [[] for _ in spans]
-    skipped: dict[int, str] = {}
-    at = 0
-    for i, (s, _) in enumerate(spans):
-        while at < len(found) and found[at][1] <= s:
-            at += 1
-        if at < len(found) and found[at][0] <= s:
-            inside[i] = f"{found[at][2]}{'!' if found[at][3] else '?'}"
-            if led[at][0]:
-                one, two, joined = led[at]
-                value = flat[found[at][0]:found[at][1]]
-                lead[i] = [f"lead={one}", f"lead2={two}", f"form={form(value)}", *([f"joined={joined}"] if joined else [])]
-                if found[at][2] == "ID_NUMBER" and checked(value):
-                    lead[i].append("checked")
-                if not labelled and s == found[at][0] and s in labels:
-                    skipped[i] = one
-    low = [w.lower() for w in words]
-    out = []
-    for i, w in enumerate(words):
-        own = ["bias", f"cand={inside[i]}", f"shape={shape(w)}", f"w={low[i]}"]
-        before = skipped.get(i) or (low[i - 1] if i else "^")
-        after = words[i + 1] if i + 1 < len(words) else "$"
-        own += [f"w-1={before}", f"w+1={after.lower()}", *lead[i]]
-        if w[:1].isalpha() and len(w) > 2:
-            if lexicon.is_given(w):
-                own.append("given")
-            if lexicon.is_family(w):
-                own.append("family")
-            if before in TITLES or before == "." and i > 1 and low[i - 2] in TITLES:
-                own.append("titled")
-            if after in _ORG:
-                own.append("org+1")
-            if after in _STREET:
-                own.append("street+1")
-        out.append(own)
+def word_features(token: str) -> list[str]:
+    low = token.lower()
+    out = [f"s={shape(token)}", f"w={low}"]
+    if len(token) > 3 and token[:1].isalpha():
+        out += [f"p={name_key(token)[:3]}", f"e={name_key(token)[-3:]}"]
     return out
 
 
+class _Numbers(dict):
+    """Numbers of the words met so far; a new one is weighed when it is first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__({BREAK: 0})
+        self.model = model
+
+    def __missing__(self, token: str) -> int:
+        i = self[token] = len(self)
+        self.model._fill(i, token)
+        return i
+
+
 class Model:
-    """Weights of features by label, of transitions and of ties."""
+    """Weights by feature and label.
 
-    def __init__(self, names: list[str], weights: np.ndarray, transition: np.ndarray, tie: np.ndarray, lexicon: Lexicon):
-        self.row = {n: i for i, n in enumerate(names)}
-        self.weights, self.transition, self.tie, self.lexicon = weights, transition, tie, lexicon
-
-    def unary(self, features: list[list[str]]) -> np.ndarray:
-        get, rows, owner = self.row.get, [], []
-        for i, own in enumerate(features):
-            for f in own:
-                r = get(f)
-                if r is not None:
-                    rows.append(r)
-                    owner.append(i)
-        out = np.zeros((len(features), K))
-        np.add.at(out, np.asarray(owner, dtype=np.int64), self.weights[rows])
-        return out
+    ``names``: features of words, each weighed once for every place it can stand in relative to a token; ``tables``: weights of
+    codes (forms, gaps, classes of neighbouring words); ``transition``, ``tie``: potentials of two labels.
+    """
 
-    def to_json(self) -> str:
-        return json.dumps({
-            "names": list(self.row), "weights": np.round(self.weights, 3).tolist(), "transition": np.round(self.transition, 3).tolist(),
-            "tie": np.round(self.tie, 3).tolist(), "given": sorted(self.lexicon.given), "roots": sorted(self.lexicon.roots),
-        }, ensure_ascii=False)
+    def __init__(self, names: list[str], words: np.ndarray, tables: dict[str, np.ndarray], transition: np.ndarray, tie: np.ndarray, given: list[str], forms: list[str]):
+        self.row = {n: i for i, n in enumerate(names)}
+        self.words, self.tables, self.transition, self.tie = words, tables, transition, tie
+        self.given, self.forms = frozenset(given), {f: i + 1 for i, f in enumerate(forms)}
+        self.passed_over: frozenset[int] = frozenset()
+        self.forget()
+
+    def forget(self) -> None:
+        """The words met so far; the first stands for what lies outside of a text."""
+        self.ids = _Numbers(self)
+        self.scores = np.zeros((1024, _SLOTS, K), dtype=np.float32)
+        self.classes = np.zeros(1024, dtype=np.int64)
+        self.begins = np.zeros(1024, dtype=np.int64)
+        self.between = np.zeros(1024, dtype=np.int64)
+        self._fill(0, BREAK)
+
+    def _fill(self, i: int, token: str) -> None:
+        if i >= len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.classes = np.concatenate([self.classes, np.zeros_like(self.classes)])
+            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+            self.between = np.concatenate([self.between, np.zeros_like(self.between)])
+        self.between[i] = _between(token)
+        if self.between[i] and i:
+            return
+        rows = self.rows(i, token)
+        self.scores[i] = self.words[rows].sum(axis=0) if rows else 0
+        self.classes[i] = CLASSES.index(word_class(token, self.given)) if i else 0
+        self.begins[i] = beginnings(token) if i else 0
+
+    def rows(self, i: int, token: str) -> list[int]:
+        """Rows of a word's features that are weighed; ``passed_over`` ones are not (while fitting)."""
+        return [r for r in map(self.row.get, word_features(token) if i else ["w=^"]) if r is not None and r not in self.passed_over]
+
+    def numbered(self, pieces: list[str]) -> np.ndarray:
+        if len(self.ids) > 150_000:
+            self.forget()
+        return np.fromiter(map(self.ids.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def save(self, path: str) -> None:
+        meta = json.dumps({"names": list(self.row), "given": sorted(self.given), "forms": list(self.forms)}, ensure_ascii=False)
+        np.savez_compressed(
+            path, words=self.words.astype(np.float16), transition=self.transition, tie=self.tie, meta=np.frombuffer(meta.encode(), dtype=np.uint8),
+            **{f"table_{k}": v.astype(np.float16) for k, v in self.tables.items()},
+        )
 
     @staticmethod
-    def from_json(text: str) -> Model:
-        d = json.loads(text)
-        return Model(d["names"], np.asarray(d["weights"]).reshape(-1, K), np.asarray(d["transition"]), np.asarray(d["tie"]), Lexicon(d["given"], d["roots"]))
+    def load(data: bytes) -> Model:
+        f = np.load(io.BytesIO(data))
+        meta = json.loads(f["meta"].tobytes().decode())
+        tables = {k.removeprefix("table_"): f[k].astype(np.float32) for k in f.files if k.startswith("table_")}
+        return Model(meta["names"], f["words"].astype(np.float32), tables, f["transition"].astype(np.float32), f["tie"].astype(np.float32), meta["given"], meta["forms"])
+
+
+def table_sizes(n_forms: int) -> dict[str, int]:
+    return {
+        **{f"in_{g}": 5 for g in GROUPS}, "gap": 4, "form": n_forms + 1, "checked": 2, "joined": len(GROUPS) + 1,
+        "before": _N**2, "after": _N**2, "around": _N**3, "ahead": _N**3, "behind": _N**3,
+    }
 
 
 @lru_cache(1)
 def trained() -> Model:
-    return Model.from_json(pkgutil.get_data("lodescan.llm", MODEL).decode())
-
-
-class Document:
-    """Tokens, candidates, chains and ties of one text."""
-
-    def __init__(self, text: str, lexicon: Lexicon):
-        self.flat, self.at = flattened(text)
-        self.spans = [m.span() for m in TOKEN.finditer(self.flat)]
-        self.found = candidates(self.flat, lexicon)
-        self.features = token_features(self.flat, self.spans, self.found, lexicon)
-        self.cuts = self._chains()
-        self.ties = self._ties()
-
-    def _chains(self) -> list[tuple[int, int]]:
-        """Token ranges that end at a line's or sentence's end outside of candidates, once they are long enough."""
-        out, first, c = [], 0, 0
-        for i, (s, e) in enumerate(self.spans):
-            following = self.spans[i + 1][0] if i + 1 < len(self.spans) else len(self.flat)
-            if i + 1 - first < CHAIN_TOKENS // 4:
+    return Model.load(pkgutil.get_data("lodescan.llm", MODEL))
+
+
+def _between(piece: str) -> int:
+    """0 of a token, 1 of blanks, 2 of what holds a line end, 3 of the break between texts."""
+    if not piece.isspace():
+        return 3 if piece == BREAK else 0
+    return 2 if "\n" in piece else 1
+
+
+class Batch:
+    """Tokens, forms, codes, chains and ties of several texts."""
+
+    def __init__(self, texts: list[str], model: Model):
+        self.model = model
+        flats = [flattened(t or "") for t in texts]
+        self.at = [a for _, a in flats]
+        self.joined = BREAK.join(f for f, _ in flats)
+        self.offsets = np.concatenate([[0], np.cumsum([len(f) + 1 for f, _ in flats])]).astype(np.int64)
+        pieces = PIECE.findall(self.joined)
+        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        # what stands before each token: nothing, a blank, a line end, the break between texts
+        numbers = model.numbered(pieces)
+        kind = model.between[numbers]
+        tokens = np.flatnonzero(kind == 0)
+        self.tokens = [pieces[i] for i in tokens.tolist()]
+        self.n = len(tokens)
+        self.end = ends[tokens]
+        self.start = self.end - np.fromiter(map(len, self.tokens), dtype=np.int64, count=self.n)
+        self.gap = np.where(tokens > 0, kind[np.maximum(tokens - 1, 0)], 3)
+        self.text = np.searchsorted(self.offsets, self.start, side="right") - 1
+        if self.n:
+            self.gap[1:][self.text[1:] != self.text[:-1]] = 3
+        self.ids = numbers[tokens]
+        self._codes()
+        self._chains()
+        self._ties()
+
+    def shifted(self, values: np.ndarray, by: int, fill: int = 0) -> np.ndarray:
+        """Values of the tokens ``by`` places on, ``fill`` where those belong to another text."""
+        out = np.full(self.n, fill, dtype=values.dtype)
+        if abs(by) < self.n:
+            a, b = (slice(None, -by), slice(by, None)) if by > 0 else (slice(-by, None), slice(None, by)) if by else (slice(None), slice(None))
+            same = self.text[a] == self.text[b]
+            out[a] = np.where(same, values[b], fill)
+        return out
+
+    def _codes(self) -> None:
+        n, model = self.n, self.model
+        self.codes: dict[str, np.ndarray] = {}
+        self.covered = np.zeros(n, dtype=bool)
+        spans = matches(self.joined, self.start, model.begins[self.ids])
+        numbers = []
+        for g, group in enumerate(GROUPS):
+            code = np.zeros(n, dtype=np.int64)
+            if spans[group]:
+                where = np.asarray(spans[group], dtype=np.int64)
+                first, last = np.searchsorted(self.start, where[:, 0]), np.searchsorted(self.start, where[:, 1]) - 1
+                if group in NUMBERS:
+                    numbers += [(i, j, g) for i, j in zip(first.tolist(), last.tolist())]
+                for i, j in zip(first.tolist(), last.tolist()):
+                    code[i:j + 1] = 2
+                    code[i], code[j] = (4, 4) if i == j else (1, 3)
+                    self.covered[i:j] = True
+            self.codes[f"in_{group}"] = code
+        self.lead = np.zeros((LEADS, n), dtype=np.int64)
+        self.led = np.zeros(n, dtype=bool)
+        forms, checks, joins = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        numbers.sort(key=lambda x: (x[0], -x[1]))
+        before: tuple[int, tuple[int, int], int] | None = None
+        done = -1
+        for i, j, g in numbers:
+            if i <= done:
                 continue
-            while c < len(self.found) and self.found[c][1] <= e:
-                c += 1
-            within = c < len(self.found) and self.found[c][0] < e
-            ends = "\n" in self.flat[e:following] or self.flat[s:e] in ".!?;" and following > e
-            if (ends and not within) or i + 1 - first >= CHAIN_TOKENS:
-                out.append((first, i + 1))
+            done = j
+            value = self.joined[self.start[i]:self.end[j]]
+            joined, here = 0, self.text[i]
+            leads = tuple(self.ids[i - k] if i - k >= 0 and self.text[i - k] == here else 0 for k in (1, 2))
+            if before and self.text[before[0]] == here and JOINED.fullmatch(self.joined, self.end[before[0]], self.start[i]):
+                leads, joined = before[1], before[2] + 1
+            before = (j, leads, g)
+            self.lead[:, i:j + 1] = np.asarray(leads)[:, None]
+            self.led[i:j + 1] = True
+            forms[i:j + 1] = model.forms.get(form(value), 0)
+            checks[i:j + 1] = checked(value)
+            joins[i:j + 1] = joined
+        self.codes |= {"form": forms, "checked": checks, "joined": joins}
+        self.codes["gap"] = self.gap
+        c = model.classes[self.ids]
+        one, two, back, back2 = (self.shifted(c, k) for k in (1, 2, -1, -2))
+        self.codes |= {
+            "before": back * _N + c, "after": c * _N + one, "around": (back * _N + c) * _N + one, "ahead": (c * _N + one) * _N + two,
+            "behind": (back2 * _N + back) * _N + c,
+        }
+
+    def _chains(self) -> None:
+        """Token ranges that end at the end of a text, or, once long enough, of a line or sentence outside of all forms."""
+        stop, chains, first = {".", "!", "?", ";", "。"}, [], 0
+        gap, covered, text = self.gap.tolist(), self.covered.tolist(), self.text.tolist()
+        for i in range(self.n):
+            size = i + 1 - first
+            last = i + 1 == self.n
+            ends = last or text[i + 1] != text[i]
+            if not ends and size >= LEAST_CHAIN and not covered[i] and gap[i + 1] > 0:
+                ends = gap[i + 1] == 2 or self.tokens[i] in stop and i > first and len(self.tokens[i - 1]) > 2
+            if ends or size >= CHAIN_TOKENS:
+                chains.append((first, size))
                 first = i + 1
-        if first < len(self.spans):
-            out.append((first, len(self.spans)))
+        chains.sort(key=lambda x: -x[1])
+        self.chain_start = np.asarray([c[0] for c in chains], dtype=np.int64)
+        self.chain_length = np.asarray([c[1] for c in chains], dtype=np.int64)
+
+    def _ties(self) -> None:
+        last: dict[tuple[int, str], int] = {}
+        pairs = []
+        text = self.text.tolist()
+        for i in np.flatnonzero(self.end - self.start >= TIE_LETTERS).tolist():
+            word = self.tokens[i]
+            if not (word[0].isupper() or word[0].isdigit()):
+                continue
+            key = (text[i], name_key(word))
+            if key in last:
+                pairs.append((last[key], i))
+            last[key] = i
+        self.ties = np.asarray(pairs, dtype=np.int64).reshape(-1, 2)
+
+    def unary(self) -> np.ndarray:
+        m = self.model
+        out = m.scores[self.ids, 0].copy()
+        for slot, place in enumerate(PLACES[1:], 1):
+            out += m.scores[self.shifted(self.ids, place), slot]
+        for k in range(LEADS):
+            out[self.led] += m.scores[self.lead[k][self.led], len(PLACES) + k]
+        for name, code in self.codes.items():
+            out += m.tables[name][code]
         return out
 
-    def _ties(self) -> list[tuple[int, int]]:
-        last: dict[str, int] = {}
-        out = []
-        for i, (s, e) in enumerate(self.spans):
-            word = self.flat[s:e]
-            if e - s >= TIE_LETTERS and word[:1].isupper():
-                key = name_key(word)
-                if key in last:
-                    out.append((last[key], i))
-                last[key] = i
-        return out
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(x.sum(axis=1, keepdims=True), 1e-30)
 
 
-def _log_product(messages: np.ndarray, potential: np.ndarray) -> np.ndarray:
-    """Sum-product step in logarithms: (n, K) against (K, K), normalised."""
-    top = messages.max(axis=1, keepdims=True)
-    out = np.log(np.exp(messages - top) @ np.exp(potential) + 1e-300)
-    return out - out.max(axis=1, keepdims=True)
-
-
-def marginals(documents: list[Document], model: Model, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Log beliefs of every token of every document (tokens x labels)."""
-    unary = [model.unary(d.features) for d in documents]
-    base = np.concatenate([[0], np.cumsum([len(u) for u in unary])]).astype(np.int64)
-    total = int(base[-1])
-    if total == 0:
-        return unary
-    flat = np.concatenate(unary)
-    chains = [(base[i] + a, b - a) for i, d in enumerate(documents) for a, b in d.cuts]
-    chains.sort(key=lambda c: -c[1])
-    starts = np.asarray([c[0] for c in chains], dtype=np.int64)
-    lengths = np.asarray([c[1] for c in chains], dtype=np.int64)
-    steps = [int((lengths > t).sum()) for t in range(int(lengths.max()))]
-    ties = np.asarray([(base[i] + a, base[i] + b) for i, d in enumerate(documents) for a, b in d.ties], dtype=np.int64).reshape(-1, 2)
-    left, right = ties[:, 0], ties[:, 1]
-    to_right, to_left = np.zeros((len(ties), K)), np.zeros((len(ties), K))
-    forward, backward = np.zeros((total, K)), np.zeros((total, K))
-    for n in range(rounds if len(ties) else 1):
-        node = flat.copy()
-        if len(ties) and n:
-            np.add.at(node, right, to_right)
-            np.add.at(node, left, to_left)
+def beliefs(b: Batch, rounds: int = ROUNDS, ties: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of every token; forward messages, node potentials with backward messages, and messages over ties (for fitting)."""
+    u = b.unary()
+    phi = np.exp(u - u.max(axis=1, keepdims=True)) if b.n else u
+    E, S = np.exp(b.model.transition), np.exp(b.model.tie)
+    steps = [int((b.chain_length > t).sum()) for t in range(int(b.chain_length.max(initial=0)))]
+    left, right = (b.ties[:, 0], b.ties[:, 1]) if ties else (np.empty(0, np.int64),) * 2
+    to_right, to_left = np.ones((len(left), K), np.float32), np.ones((len(left), K), np.float32)
+    forward, backward = np.ones_like(phi), np.ones_like(phi)
+    node = phi
+
+    def step_(t: int, x: np.ndarray) -> np.ndarray:
+        # every fourth step is enough to stay within range
+        return x if t & 3 else _normal(x)
+
+    for n in range(rounds if len(left) else 1):
+        if n:
+            node = phi.copy()
+            np.multiply.at(node, right, to_right)
+            np.multiply.at(node, left, to_left)
         for t in range(1, len(steps)):
-            here = starts[:steps[t]] + t
-            forward[here] = _log_product(forward[here - 1] + node[here - 1], model.transition)
+            here = b.chain_start[:steps[t]] + t
+            forward[here] = step_(t, (forward[here - 1] * node[here - 1]) @ E)
         for t in range(len(steps) - 1, 0, -1):
-            here = starts[:steps[t]] + t
-            backward[here - 1] = _log_product(backward[here] + node[here], model.transition.T)
-        belief = node + forward + backward
-        if len(ties):
-            fresh_right = _log_product(belief[left] - to_left * (n > 0), model.tie)
-            fresh_left = _log_product(belief[right] - to_right * (n > 0), model.tie.T)
-            to_right, to_left = fresh_right, fresh_left
-    return [belief[base[i]:base[i + 1]] for i in range(len(documents))]
+            here = b.chain_start[:steps[t]] + t
+            backward[here - 1] = step_(t, (backward[here] * node[here]) @ E.T)
+        belief = _normal(forward * node * backward)
+        if len(left):
+            out_left, out_right = _normal(belief[left] / np.maximum(to_left, 1e-6)), _normal(belief[right] / np.maximum(to_right, 1e-6))
+            to_right, to_left = _normal(out_left @ S) * K, _normal(out_right @ S.T) * K
+    return _normal(forward * node * backward), forward, node * backward, node
 
 
 def _trim(flat: str, s: int, e: int, kind: str) -> tuple[int, int]:
@@ -241,64 +334,64 @@ def _trim(flat: str, s: int, e: int, kind: str) -> tuple[int, int]:
     first, last = ends or (lambda c: c.isalnum() or c == "#" and kind == "ADDRESS", str.isalnum)
     while s < e and not first(flat[s]):
         s += 1
-    while e > s and not last(flat[e - 1]) and not (kind == "NAME" and flat[e - 1] == "." and flat[e - 2:e - 1].isupper()):
+    while e > s and not last(flat[e - 1]) and not (kind == "NAME" and flat[e - 1] == "." and flat[e - 2:e - 1].isalpha() and (e - 2 == s or not flat[e - 3].isalnum())):
         if unicodedata.combining(flat[e - 1]):
             break
         e -= 1
     if kind == "NAME" and flat[e - 2:e] in ("'s", "’s"):
         e -= 2
+    while kind == "NAME" and (m := _TITLED.match(flat, s, e)):
+        s = m.end()
     return s, e
 
 
+_TITLED = re.compile(rf"(?i)(?:{'|'.join(t for t in TITLES if len(t) > 1)})(?:\.\s*|\s+)")
+_QUAD = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
+
+
 def plausible(flat: str, s: int, e: int, kind: str) -> bool:
     """Exact conditions every entity of a type meets; it ends at no place within a word or number."""
     span = flat[s:e]
     digits = sum(c.isdigit() for c in span)
     if (s and flat[s - 1].isalnum() and flat[s].isalnum()) or (e < len(flat) and flat[e].isalnum() and flat[e - 1].isalnum()):
         return False
-    if kind == "PHONE":
-        return 9 <= digits <= 15
-    if kind == "ID_NUMBER":
-        return digits >= 6
+    if kind in ("PHONE", "ID_NUMBER"):
+        # no part of a longer number, address or path
+        whole = flat[s - 1:s] not in ("#", "/", ".", "@", "-") and not (flat[e:e + 1] in ("-", "/", ".") and flat[e + 1:e + 2].isdigit())
+        return whole and not _QUAD.fullmatch(span) and (9 <= digits <= 15 if kind == "PHONE" else digits >= 6)
     if kind == "EMAIL":
         return "@" in span or re.search(r"\bat\b", span.lower()) is not None
     if kind == "ADDRESS":
         return digits >= 1 and any(c.isalpha() for c in span)
-    return digits == 0 and len(span.split()) >= 2
+    return digits == 0 and len(re.split(r"[\s.]+", span.strip(". "))) >= 2
 
 
-def entities(documents: list[Document], model: Model) -> list[list[tuple[int, int, str, float]]]:
-    """(start, end, type, confidence) of each document, in places of the text as written.
+def entities(texts: list[str], model: Model, ties: bool = True) -> list[list[tuple[int, int, str, float]]]:
+    """(start, end, type, confidence) of each text, in places of the text as written.
 
-    Runs of one label are entities; where a run holds several candidates of its type, each is one.
+    An entity begins at a first-token label or where the type changes, and goes on over further-token labels of its type.
     """
-    out = []
-    for doc, belief in zip(documents, marginals(documents, model)):
-        best = belief.argmax(axis=1) if len(belief) else np.empty(0, dtype=np.int64)
-        share = np.exp(belief - belief.max(axis=1, keepdims=True)) if len(belief) else belief
-        share = share / share.sum(axis=1, keepdims=True) if len(belief) else share
-        owner = np.full(len(best), -1, dtype=np.int64)
-        c = 0
-        for i, (s, _) in enumerate(doc.spans):
-            while c < len(doc.found) and doc.found[c][1] <= s:
-                c += 1
-            if c < len(doc.found) and doc.found[c][0] <= s:
-                owner[i] = c
-        mine, i = [], 0
-        while i < len(best):
-            if best[i] == 0:
-                i += 1
-                continue
-            j = i + 1
-            while j < len(best) and best[j] == best[i] and (owner[j] == owner[i] or owner[i] < 0 and owner[j] < 0):
-                j += 1
-            kind = LABELS[best[i]]
-            s, e = _trim(doc.flat, doc.spans[i][0], doc.spans[j - 1][1], kind)
-            if s < e and plausible(doc.flat, s, e, kind):
-                a, b = (s, e) if doc.at is None else (doc.at[s], doc.at[e - 1] + 1)
-                mine.append((a, b, kind, float(share[i:j, best[i]].mean())))
-            i = j
-        out.append(mine)
+    b = Batch(texts, model)
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    if not b.n:
+        return out
+    belief = beliefs(b, ties=ties)[0]
+    best = belief.argmax(axis=1)
+    kinds = TYPE_OF[best]
+    inside = (kinds >= 0) & (best % 2 == 0) & (b.shifted(kinds, -1, -1) == kinds)
+    begins = np.flatnonzero((kinds >= 0) & ~inside)
+    for i in begins.tolist():
+        j = i + 1
+        while j < b.n and inside[j]:
+            j += 1
+        which, kind = int(b.text[i]), TYPES[kinds[i]]
+        base = int(b.offsets[which])
+        flat = b.joined[base:int(b.offsets[which + 1]) - 1]
+        s, e = _trim(flat, int(b.start[i]) - base, int(b.end[j - 1]) - base, kind)
+        if s < e and plausible(flat, s, e, kind):
+            at = b.at[which]
+            a, z = (s, e) if at is None else (at[s], at[e - 1] + 1)
+            out[which].append((a, z, kind, float(belief[i:j, best[i]].mean())))
     return out
 
 
@@ -313,8 +406,7 @@ def _finder():
         names = ("start_ix", "end_ix", "pii_type", "confidence")
 
         def run(texts: list[str]) -> list[list[dict]]:
-            docs = [Document(t or "", model.lexicon) for t in texts]
-            return [[dict(zip(names, x)) for x in spans] for spans in entities(docs, model)]
+            return [[dict(zip(names, x)) for x in spans] for spans in entities(texts, model)]
 
         for texts in batches:
             out, some, size = [], [], 0
@@ -362,108 +454,127 @@ def redact(df: DataFrame, text: str, out: str = "redacted") -> DataFrame:
     return spans.withColumn(out, F.when(F.col(f"`{text}`").isNotNull(), done)).drop("_spans")
 
 
-# --- training ---------------------------------------------------------------------------------------------
+# --- fitting ----------------------------------------------------------------------------------------------
 
 
-def learn_lexicon(names: pd.Series, least_given: int = 20, least_root: int = 20) -> Lexicon:
-    """Given names and three-letter beginnings of family names, from values of columns of full names."""
-    given, roots = Counter(), Counter()
-    for v in names.dropna():
-        parts = flattened(v)[0].split()
-        if len(parts) == 2:
-            given[name_key(parts[0])] += 1
-            roots[name_key(parts[1])[:3]] += 1
-    return Lexicon([g for g, n in given.items() if n >= least_given], [r for r, n in roots.items() if n >= least_root and len(r) == 3])
+def learn_given(names: pd.Series, least: int = 5) -> list[str]:
+    """Given names: first words of two-word values of columns of full names."""
+    counts = Counter(name_key(flattened(v)[0].split()[0]) for v in names.dropna() if len(v.split()) == 2)
+    return [g for g, n in counts.items() if n >= least and g.isalpha()]
 
 
-def _leads_of_labelled(docs: list[Document], least: int = 2, share: float = 0.1, rare: int = 5) -> set[str]:
-    """Features of words before numbers that stand before sure identity numbers too, not only before others.
+def _targets(b: Batch, spans: list[list[tuple[int, int, str]]]) -> np.ndarray:
+    """Labels of tokens, of spans in the texts as mapped (made texts are of ordinary characters, so that places agree)."""
+    y = np.zeros(b.n, dtype=np.int64)
+    for which, some in enumerate(spans):
+        base = int(b.offsets[which])
+        back = b.at[which]
+        for s, e, kind in some:
+            if back is not None:
+                s, e = int(np.searchsorted(back, s)), int(np.searchsorted(back, e))
+            i, j = np.searchsorted(b.start, [base + s, base + e])
+            label = LABELS.index(f"B-{kind}")
+            y[i:j] = label + 1
+            y[i] = label
+    return y
 
-    Two words count where they are frequent enough, else the last of them.
-    """
-    sure, all_ = Counter(), Counter()
-    pairs = set()
-    for d in docs:
-        for own in d.features:
-            led = tuple(f for f in own if f.startswith(("lead=", "lead2=")))
-            all_.update(led)
-            if led:
-                pairs.add(led)
-            if "cand=ID_NUMBER!" in own:
-                sure.update(led)
-    known = {f for f, n in sure.items() if n >= max(least, share * all_[f])}
-    return {two for one, two in pairs if (two if all_[two] >= rare else one) in known}
-
-
-def fit(texts: list[str], lexicon: Lexicon, least: int = 4, epochs: int = 12, rate: float = 0.3, seed: int = 5) -> Model:
-    """Pseudo-likelihood fit (each token given its neighbours' and its tied tokens' labels) on weak labels.
-
-    The weak labels are the sure candidates. A third of the candidates' flags is hidden while fitting, so that
-    words, lexicon, neighbours and ties carry weight of their own; in another third, numbers look as they would without
-    their labels, so that what stands before labelled numbers tells the unlabelled ones from other numbers.
+
+def agreement(made: list[tuple[str, list[tuple[int, int, str]]]], found: list[list[tuple[int, int, str, float]]]) -> tuple[float, float]:
+    """Recall and precision of found spans with their types, against known ones."""
+    want = {(i, *s) for i, (_, spans) in enumerate(made) for s in spans}
+    got = {(i, a, z, kind) for i, spans in enumerate(found) for a, z, kind, _ in spans}
+    return len(want & got) / max(1, len(want)), len(want & got) / max(1, len(got))
+
+
+def fit(
+    made: list[tuple[str, list[tuple[int, int, str]]]], given: list[str], *, least: int = 4, epochs: int = 6, rate: float = 0.15, seed: int = 5,
+    hidden: float = 0.4, unseen: float = 0.15, per_step: int = 64,
+) -> Model:
+    """Weights of greatest likelihood on texts with known spans, by adaptive gradient steps; loopy beliefs stand for the marginals.
+
+    In each step a share of the given names (``hidden``) is taken from the list, so that names are found by what stands around them as well, and a
+    share of the words (``unseen``) is passed over, so that forms and shapes carry weight where words are unknown.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
-    docs = [Document(t, lexicon) for t in texts if t]
-    plain = [token_features(d.flat, d.spans, candidates(d.flat, lexicon, labels=False), lexicon, labelled=False) for d in docs]
-    counts = Counter(f for d in docs for own in d.features for f in own) + Counter(f for p in plain for own in p for f in own if f.endswith("?"))
-    known = _leads_of_labelled(docs)
-    names = sorted(f for f, n in counts.items() if n >= least)
-    row = {n: i for i, n in enumerate(names)}
-    W, T, S = np.zeros((len(names), K)), np.zeros((K, K)), np.zeros((K, K))
-    G = [np.full_like(x, 1e-6) for x in (W, T, S)]
-    examples = []
-    for d, unlabelled in zip(docs, plain):
-        y, c, much = np.zeros(len(d.spans), dtype=np.int64), 0, np.ones((len(d.spans), 1))
-        for i, (s, _) in enumerate(d.spans):
-            while c < len(d.found) and d.found[c][1] <= s:
-                c += 1
-            if c < len(d.found) and d.found[c][0] <= s:
-                kind, sure = d.found[c][2:]
-                y[i] = 0 if kind == "ID_NUMBER" and not sure else INDEX[kind]
-                # an unsure number where others have labels may be anything: no example
-                much[i] = 0 if kind in ("ID_NUMBER", "PHONE") and not sure and not known.isdisjoint(d.features[i]) else 1
-        bare_rows = [[row[f] for f in own if f in row] for own in unlabelled]
-        rows = [[row[f] for f in own if f in row] for own in d.features]
-        flags = [next((r for r in own if names[r].startswith("cand=")), -1) for own in rows]
-        examples.append((y, much, rows, bare_rows, flags, np.asarray(d.ties, dtype=np.int64).reshape(-1, 2)))
-
-    def step(target: np.ndarray, grad: np.ndarray, seen: np.ndarray) -> None:
-        seen += grad * grad
-        target += rate * grad / np.sqrt(seen)
-
-    hidden = row.get("cand=", -1)
+    counts, forms = Counter(), Counter()
+    for text, spans in made:
+        flat = flattened(text)[0]
+        counts.update(f for t in {p for p in PIECE.findall(flat) if not p.isspace()} for f in word_features(t))
+        forms.update(form(flat[a:z]) for a, z, kind in spans if kind in ("PHONE", "ID_NUMBER"))
+    names = ["w=^", *sorted(f for f, n in counts.items() if n >= least)]
+    kinds = sorted(f for f, n in forms.items() if n >= least)
+    tables = {k: np.zeros((n, K), np.float32) for k, n in table_sizes(len(kinds)).items()}
+    model = Model(names, np.zeros((len(names), _SLOTS, K), np.float32), tables, np.zeros((K, K), np.float32), np.zeros((K, K), np.float32), given, kinds)
+    seen = {"words": np.full_like(model.words, 1e-4), "transition": np.full((K, K), 1e-4, np.float32), "tie": np.full((K, K), 1e-4, np.float32)}
+    seen |= {k: np.full_like(t, 1e-4) for k, t in tables.items()}
+
+    def step(target: np.ndarray, past: np.ndarray, grad: np.ndarray, decay: float) -> None:
+        grad = grad - decay * target
+        past += grad * grad
+        target += rate * grad / np.sqrt(past)
+
+    whole = frozenset(given)
+    from lodescan.llm import pii_patterns
+
+    wordy = np.asarray([not n.startswith("s=") for n in names])
+    listed = {w for w, c in pii_patterns._KIND.items() if c == "given"}
     for _ in range(epochs):
-        for start in range(0, len(examples), 32):
-            gw, gt, gs = np.zeros_like(W), np.zeros_like(T), np.zeros_like(S)
-            for y, much, rows, bare_rows, flags, ties in examples[start:start + 32]:
-                n = len(y)
-                if not n:
-                    continue
-                draw = rng.random()
-                hide = draw < 0.34
-                if draw > 0.66:
-                    rows = bare_rows
-                owner = np.repeat(np.arange(n), [len(r) for r in rows])
-                feats = np.fromiter((hidden if hide and f == flags[i] else f for i, r in enumerate(rows) for f in r), dtype=np.int64)
-                score = np.zeros((n, K))
-                np.add.at(score, owner, W[feats])
-                score[1:] += T[y[:-1]]
-                score[:-1] += T[:, y[1:]].T
-                if len(ties):
-                    np.add.at(score, ties[:, 1], S[y[ties[:, 0]]])
-                    np.add.at(score, ties[:, 0], S[:, y[ties[:, 1]]].T)
-                p = np.exp(score - score.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                g = -p
-                g[np.arange(n), y] += 1
-                g *= much
-                np.add.at(gw, feats, g[owner])
-                np.add.at(gt, y[:-1], g[1:])
-                np.add.at(gt.T, y[1:], g[:-1])
-                if len(ties):
-                    np.add.at(gs, y[ties[:, 0]], g[ties[:, 1]])
-                    np.add.at(gs.T, y[ties[:, 1]], g[ties[:, 0]])
-            step(W, gw - 1e-4 * W, G[0])
-            step(T, gt - 1e-3 * T, G[1])
-            step(S, gs - 1e-3 * S, G[2])
-    return Model(names, W, T, S, lexicon)
+        order = rng.permutation(len(made))
+        for at in range(0, len(order), per_step):
+            some = [made[i] for i in order[at:at + per_step]]
+            # hide some names from the lists for this step only
+            gone = {g for g in (*whole, *listed) if rng.random() < hidden}
+            model.given = whole - gone
+            taken = {g: pii_patterns._KIND.pop(g) for g in gone & listed}
+            model.passed_over = frozenset(np.flatnonzero(wordy & (rng.random(len(names)) < unseen)).tolist())
+            model.forget()
+            b = Batch([t for t, _ in some], model)
+            pii_patterns._KIND.update(taken)
+            y = _targets(b, [s for _, s in some])
+            belief, forward, later, node = beliefs(b)
+            g = -belief
+            g[np.arange(b.n), y] += 1
+            # words: gradients are summed by word and place first
+            by_word = np.zeros((len(model.ids), _SLOTS, K), np.float32)
+            np.add.at(by_word[:, 0], b.ids, g)
+            for slot, place in enumerate(PLACES[1:], 1):
+                np.add.at(by_word[:, slot], b.shifted(b.ids, place), g)
+            for k in range(LEADS):
+                np.add.at(by_word[:, len(PLACES) + k], b.lead[k][b.led], g[b.led])
+            grad, touched = np.zeros_like(model.words), set()
+            for token, i in model.ids.items():
+                rows = model.rows(i, token)
+                touched.update(rows)
+                grad[rows] += by_word[i]
+            rows = np.asarray(sorted(touched))
+            part, past = model.words[rows], seen["words"][rows]
+            step(part, past, grad[rows], 1e-3)
+            model.words[rows], seen["words"][rows] = part, past
+            for name, code in b.codes.items():
+                grad = np.zeros_like(model.tables[name])
+                np.add.at(grad, code, g)
+                step(model.tables[name], seen[name], grad, 1e-3)
+            # transitions within chains
+            inner = np.ones(b.n, dtype=bool)
+            inner[b.chain_start] = False
+            cur = np.flatnonzero(inner)
+            first = forward[cur - 1] * node[cur - 1]
+            E = np.exp(model.transition)
+            z = np.maximum(((first @ E) * later[cur]).sum(axis=1, keepdims=True), 1e-30)
+            expected = E * ((first / z).T @ later[cur])
+            grad = -expected
+            np.add.at(grad, (y[cur - 1], y[cur]), 1)
+            step(model.transition, seen["transition"], grad, 1e-3)
+            if len(b.ties):
+                left, right = b.ties[:, 0], b.ties[:, 1]
+                S = np.exp(model.tie)
+                # beliefs of the two ends without each other are those of the last but one round, to a first order
+                a, c = belief[left], belief[right]
+                z = np.maximum(((a @ S) * c).sum(axis=1, keepdims=True), 1e-30)
+                grad = -(S * ((a / z).T @ c))
+                np.add.at(grad, (y[left], y[right]), 1)
+                step(model.tie, seen["tie"], grad, 1e-2)
+        model.given = whole
+    model.passed_over = frozenset()
+    model.forget()
+    return model

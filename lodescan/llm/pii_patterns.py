@@ -1,4 +1,4 @@
-"""Candidate spans of personal data and the tokens they are judged by.
+"""Tokens of texts, forms of numbers, addresses and mail addresses, and what is known of words: evidence the field weighs.
 
 Everything works on the look-alike-mapped text (ordinary width, no invisible characters) and keeps the
 place of each character in the text as written.
@@ -6,29 +6,37 @@ place of each character in the text as written.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
-import regex
+import numpy as np
 
 from lodescan.llm.lookalike import mapping
 
 TYPES = ["EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME"]
 
-# Words that name streets, organisations, particles and titles.
+# Words that name streets, flats, organisations, particles and titles.
 STREETS = (
-    "Street Road Avenue Drive Lane Close Terrace Gardens Crescent Mews Place Court Way Boulevard Blvd Square Hill Grove "
-    "Row Walk Park Rise View Parade St Rd Ave Dr Ln"
-).split()
-FRENCH_WAYS = "rue avenue boulevard chemin place quai allée impasse route cours".split()
-GERMAN_ENDS = "straße strasse str\\. weg gasse platz allee ring damm ufer".split()
-UNITS = "Flat Apt Apartment Suite Unit Room Wohnung App\\. Appt".split()
-ORGANISATIONS = (
-    "Ltd LLC Inc GmbH AG AB SARL SA SE BV PLC Holdings Logistics Energy Textiles Robotics Insurance Analytics Clinic Bakery "
-    "Freight Optics Offices Courier Provisions Bank Group Partners"
+    "street road avenue drive lane close terrace gardens crescent mews place court way boulevard blvd square hill grove row walk park rise view parade st rd "
+    "ave dr ln rue chemin quai allée impasse route cours straße strasse weg gasse platz allee ring damm ufer calle avenida plaza via corso"
 ).split()
+SOUTHERN = "calle avenida plaza paseo via viale corso piazza rua".split()
+GERMAN_ENDS = "straße strasse str. weg gasse platz allee ring damm ufer".split()
+UNITS = "flat apt apartment suite unit room wohnung app appt".split()
+ORGANISATIONS = "ltd llc inc gmbh ag ab sarl sa se bv plc corp kg oy ooo ao oao zao holdings group partners bank company university foundation".split()
 PARTICLES = "de da di del della du des la le van von der den al bin ibn ter zu".split()
-TITLES = "mr mrs ms miss dr prof sir herr frau m mme sr sra señor señora".split()
+TITLES = "mr mrs ms miss dr prof sir madam herr frau m mme sr sra señor señora".split()
+# Common given names of many countries, in lower case and without accents.
+GIVEN = """
+james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen emily emma
+olivia daniel matthew anna andrew laura peter paul mark julia george helen alice henry lucy jack grace oliver sophie hans peter klaus jurgen wolfgang ursula
+monika sabine heike anke lukas leon felix lena lea pierre jean marie claire julien camille antoine louise chloe jose juan carlos luis miguel maria carmen
+lucia sofia pablo diego joao pedro ana rita tiago giovanni marco luca giulia francesca paolo chiara jan piet kees anneke sanne lars erik ingrid astrid
+bjorn freja soren mikkel jakub piotr katarzyna agnieszka zofia mehmet ayse fatma mustafa emre zeynep ivan olga dmitri natalia sergei tatiana hiroshi yuki
+kenji sakura haruto wei li ming jing xin hui chen raj rajesh priya amit sunita anil deepa arjun fatima mohammed ahmed ali hassan aisha omar layla yusuf
+kwame ama chidi ngozi thabo zanele min-jun ji-woo somchai nguyen
+""".split()
 # Labels of identity numbers, in lower case.
 ID_LABELS = (
     r"ssn|soc(?:ial|\.)?\s?sec(?:urity|\.)?(?:\s?(?:number|no\.?|nr\.?))?|pesel|dni\s?/\s?nif|dni|nif|nie|aadhaar|uid(?:\s?no\.?)?|"
@@ -39,9 +47,12 @@ ID_LABELS = (
 # Words that join a number to the one before it.
 JOINING = r"and|or|und|oder|et|ou|y|e|o|i|lub"
 
-_L = r"[\p{L}\p{M}]"
-_WORDY = rf"{_L}+"
-TOKEN = regex.compile(rf"{_L}+|\p{{N}}+|\S")
+#: parts texts of a batch are joined with; the mapping removes it from texts
+BREAK = "\0"
+TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*|\d+|[^\s\0]")
+#: the same with what stands between tokens, so that the pieces together are the whole text
+PIECE = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*|\d+|[^\s\0]|\0|\s+")
+_CONTROL = re.compile(r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f]")
 
 
 @lru_cache(1)
@@ -51,6 +62,8 @@ def _table() -> dict[int, str]:
 
 def flattened(text: str) -> tuple[str, list[int] | None]:
     """Look-alike-mapped text and, unless nothing changed, the place of each of its characters."""
+    if text.isascii() and not _CONTROL.search(text):
+        return text, None
     table = _table()
     flat = text.translate(table)
     if flat == text:
@@ -61,246 +74,148 @@ def flattened(text: str) -> tuple[str, list[int] | None]:
     return flat, at
 
 
-@lru_cache(200_000)
 def name_key(word: str) -> str:
-    """Word without case and accents, for look-up."""
-    apart = unicodedata.normalize("NFD", word.casefold())
-    return "".join(c for c in apart if not unicodedata.combining(c))
+    """Word without case and accents, for look-up and for ties."""
+    if word.isascii():
+        return word.lower()
+    return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if not unicodedata.combining(c))
 
 
 _BRACKET_AT = r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?"
 _WORD_DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
 _DOT = rf"(?:\.|{_WORD_DOT})"
-_PART, _HOST = r"[\p{L}\p{M}\p{N}_+%-]+", r"[\p{L}\p{M}\p{N}-]+"
-_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_%+.-])", r"(?![\p{L}\p{N}_-])"
-EMAIL = regex.compile(rf"{_BEFORE}{_PART}(?:\.{_PART})*@{_HOST}(?:\.{_HOST})*\.\p{{L}}{{2,}}{_AFTER}")
-SPELLED = [
-    regex.compile(rf"{_BEFORE}{_PART}(?:{_DOT}{_PART})*{_BRACKET_AT}{_HOST}(?:{_DOT}{_HOST})*{_DOT}\p{{L}}{{2,}}{_AFTER}", regex.I),
-    regex.compile(rf"{_BEFORE}{_PART}(?:{_DOT}{_PART})*(?:@|\sat\s){_HOST}(?:{_DOT}{_HOST})*{_WORD_DOT}\p{{L}}{{2,}}{_AFTER}", regex.I),
-]
-_SPELLED_CUE = regex.compile(r"[\[({<]\s?at\s?[\])}>]|\bdot\b", regex.I)
-
-_B, _E = r"(?<![\p{L}\p{N}#/.@_-])", r"(?![\p{L}\p{N}]|[-/.]\d)"
-PHONES = [regex.compile(_B + p + _E) for p in (
-    r"(?:\+|00)\d{1,3}[ .\-/]?(?:\(0\))?[ .\-/]?(?:\(?\d{1,5}\)?[ .\-/]?){2,6}(?<=\d)",
-    r"\+\d{9,14}",
-    r"(?:1[ .-])?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}",
-    r"(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}",
-    r"0\d{4}[ ./-]\d{6}",
-    r"0\d{2}[ ./-]\d{4}[ .-]\d{4}",
-    r"0\d{1,4}[ ./-]\d{4,6}[ .-]\d{2,4}",
-    r"0\d([ .-])\d{2}(?:\1\d{2}){3}",
-)]
-
-_V = (r"(?:[A-Z]{1,2}\d{6,8}|[XYZ]\d{7}[ -]?[A-Z]|\d{8}[ -]?[A-Z]|\d{3}[ .-]\d{2}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{3,4}|"
-      r"\d{2}[ .]\d{3}[ .]\d{3}[ .]\d{3}|\d{4}[ -]\d{4}[ -]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{9,13})")
-LABELLED = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{ID_LABELS})(?:\s?[:=.#]\s?|\s(?:is|ist|es|no\.?|nr\.?)\s|\s){{1,2}}(?<v>{_V})(?![\p{{L}}\p{{N}}]|[-/.]\d)", regex.I)
-BARE_IDS = [regex.compile(_B + p + _E) for p in (r"\d{3}([ .-])\d{2}\1\d{4}", r"\d{8}-?[A-HJ-NP-TV-Z]")]
-SHAPED = regex.compile(_B + _V + _E)
-_JOINED = regex.compile(rf"\s*(?:[,;/&|]|[,;]?\s(?:{JOINING})\s)\s*", regex.I)
-_LEAD = regex.compile(rf"{_L}+|\p{{N}}+|[.!?](?=\s)|\n")
-
-_CAP = rf"\p{{Lu}}[\p{{L}}\p{{M}}'’-]*"
+_PART, _HOST = r"[\w%+-]+", r"[^\W_](?:[^\W_]|-)*"
+_BEFORE, _AFTER = r"(?<![\w%+.-])", r"(?![\w-])"
+_B, _E = r"(?<![\w#/.@-])", r"(?!\w|[-/.]\d)"
+_CAP = r"[^\W\d_a-zß-ÿ](?:[^\W\d_]|['’-])*"
 _UK = r"[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}"
-_UNIT = rf"(?:(?:{'|'.join(UNITS)})\s?\w{{1,5}}|#\s?\w{{1,5}})"
-_NO = r"(?<!\d[ ./-])\d{1,4}[a-z]?(?:\s(?:bis|ter))?(?!,?\s(?:The|A|An)\s)"
-# a second word of a town counts only before a postcode or at the end of a phrase: elsewhere it may begin the next sentence
-_MORE = rf"(?:[ ]{_CAP}(?=,|[ ]{_UK}|[.;)\n]|$))?"
-_TOWN = rf"{_CAP}{_MORE}"
-ADDRESSES = [regex.compile(_B + p + _E, f) for p, f in (
-    (rf"(?:{_UNIT},?\s)?{_NO},?[ ]{_CAP}(?:[ ]{_CAP})??[ ](?:{'|'.join(STREETS)})\b\.?(?:,?[ ]{_UNIT}\b)?(?:,\s{_TOWN}(?:,?[ ]{_UK}\b|,[ ][A-Z]{{2}}[ ]\d{{5}}\b)?)?", 0),
-    (rf"{_NO},?[ ](?i:{'|'.join(FRENCH_WAYS)})[ ](?:(?:du|des|de la|de|de l['’]|la|le)[ ]?)?{_CAP}(?:,?\s\d{{5}}[ ]{_TOWN})?", 0),
-    (rf"(?:(?i:am|an der|im|auf der|zum|zur)[ ])?\p{{Lu}}[\p{{L}}\p{{M}}-]*?(?i:{'|'.join(GERMAN_ENDS)})[ ]?\d{{1,4}}[ ]?[a-z]?\b(?:,?\s\d{{5}}[ ]{_TOWN})?", 0),
-)]
-_ADDRESS_STOP = regex.compile(r"\s(?:The|But|Both|On|In|With|Ref|Last|Release|Version|Order|Host)$")
-
-INITIAL = rf"\p{{Lu}}\."
-# compiled once: the module's own functions look their pattern up on every call
-_INITIAL, _LETTER, _POSSESSIVE = regex.compile(INITIAL), regex.compile(r"\p{L}"), regex.compile(r"['’]s$")
-_NUMBERED, _DASHED = regex.compile(r"[-@_./]?\d|@"), regex.compile(r"-\d")
-
-
-def _digits(s: str) -> int:
-    return sum(c.isdigit() for c in s)
-
-
-class Lexicon:
-    """Given names and the beginnings of family names, learned from labelled columns."""
-
-    def __init__(self, given: list[str], roots: list[str]):
-        self.given, self.roots = frozenset(given), frozenset(roots)
-        self._family: dict[str, bool] = {}
-
-    def is_given(self, word: str) -> bool:
-        return name_key(word) in self.given
-
-    def is_family(self, word: str) -> bool:
-        known = self._family.get(word)
-        if known is None:
-            if len(self._family) > 200_000:
-                self._family.clear()
-            known = self._family[word] = self._looks_family(word)
-        return known
-
-    def _looks_family(self, word: str) -> bool:
-        key = name_key(word)
-        for lead in ("o'", "o’", "al-"):
-            key = key.removeprefix(lead)
-        return len(key) >= 5 and key[:3] in self.roots and key not in self.given
-
-
-_WORDS = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@./+-])(?:{INITIAL}|{_L}+(?:['’]{_L}+)?(?:-{_L}+(?:['’]{_L}+)?)*)")
-
-
-def name_spans(flat: str, lexicon: Lexicon) -> list[tuple[int, int, bool]]:
-    """(start, end, sure) of personal names: given names with family names in either order, or initials with them."""
-    words = [(m.start(), m.end(), m.group()) for m in _WORDS.finditer(flat)]
-    out, i, n = [], 0, len(words)
-
-    def gap(j: int) -> str:
-        return flat[words[j][1]:words[j + 1][0]] if j + 1 < n else "\n"
+_UNIT = rf"(?:(?:{'|'.join(UNITS)})\.?\s?\w{{1,5}}|#\s?\w{{1,5}})"
+_NO = r"\d{1,4}[a-z]?(?:\s(?:bis|ter))?"
+_ENGLISH = "Street|Road|Avenue|Drive|Lane|Close|Terrace|Gardens|Crescent|Mews|Place|Court|Way|Boulevard|Blvd|Square|Hill|Grove|Row|Walk|Park|Rise|View|Parade|St|Rd|Ave|Dr|Ln"
+_V = (
+    r"(?:[A-Z]{1,2}\d{6,8}|[XYZ]\d{7}[ -]?[A-Z]|\d{8}[ -]?[A-Z]|\d{3}[ .-]\d{2}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{3,4}|\d{2}[ .]\d{3}[ .]\d{3}[ .]\d{3}|"
+    r"\d{4}[ -]\d{4}[ -]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{9,13})"
+)
+# what a token can begin: the forms are tried only where their first token stands
+NUMBER, UNIT, ID_LABEL, SIGN, CODE, GERMAN, CUE, WAY = (1 << i for i in range(8))
+_LABEL_STARTS = frozenset("ssn soc social pesel dni nif nie aadhaar uid nhs steuer steuerid idnr tax travel passport reisepass reisepassnr national sozialversicherungsnummer id".split())
+#: forms by group with the kinds of tokens they begin with
+FORMS: dict[str, tuple[int, list[re.Pattern]]] = {
+    "abroad": (NUMBER | SIGN, [re.compile(rf"{_B}(?:\+|00)\d{{1,3}}[ .\-/]?(?:\(0\))?[ .\-/]?(?:\(?\d{{1,5}}\)?[ .\-/]?){{2,6}}(?<=\d){_E}")]),
+    "national": (NUMBER | SIGN, [re.compile(_B + "(?:" + "|".join((
+        r"(?:1[ .-])?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}", r"(?:1[ .-])?\d{3}(?P<s>[ .-])\d{3}(?P=s)\d{4}", r"0\d{4}[ ./-]\d{6}", r"0\d{2}[ ./-]\d{4}[ .-]\d{4}",
+        r"0\d{3}[ -]\d{3}[ -]\d{4}", r"0\d{1,4}[ ./-]\d{4,6}[ .-]\d{2,4}", r"0\d(?P<t>[ .-])\d{2}(?:(?P=t)\d{2}){3}",
+    )) + ")" + _E)]),
+    "labelled": (ID_LABEL, [re.compile(rf"(?i)(?<!\w)(?:{ID_LABELS})(?:\s?[:=.#]\s?|\s(?:is|ist|es|no\.?|nr\.?)\s|\s){{1,2}}(?P<v>{_V})(?!\w|[-/.]\d)")]),
+    "number": (NUMBER | CODE, [re.compile(rf"{_B}{_V}{_E}")]),
+    "english": (NUMBER | UNIT, [re.compile(
+        rf"{_B}(?:(?i:{_UNIT}),?\s)?{_NO},?[ ]{_CAP}(?:[ ]{_CAP})??[ ](?:{_ENGLISH})\b\.?(?:,?[ ](?i:{_UNIT})\b)?(?:,\s{_CAP}(?:[ ]{_CAP})?(?:,?[ ]{_UK}\b|,[ ][A-Z]{{2}}[ ]\d{{5}}\b)?)?{_E}"
+    )]),
+    "french": (NUMBER, [re.compile(
+        rf"{_B}{_NO},?[ ](?i:rue|avenue|boulevard|chemin|place|quai|allée|impasse|route|cours)[ ](?:(?:du|des|de la|de|de l['’]|la|le)[ ]?)?{_CAP}(?:[ ]{_CAP})?(?:,?\s\d{{5}}[ ]{_CAP}(?:[ ]{_CAP})?)?{_E}"
+    )]),
+    "southern": (WAY, [re.compile(
+        rf"(?<!\w)(?i:calle|avenida|plaza|paseo|via|viale|corso|piazza|rua)[ ](?:(?:de la|del|de|della|di|da|do)[ ])?{_CAP}(?:[ ]{_CAP})?,?[ ](?:n[.º°]?[ ]?)?\d{{1,4}}[a-z]?(?:,?\s\d{{5}}[ ]{_CAP}(?:[ ]{_CAP})?)?{_E}"
+    )]),
+}
+_LOCAL, _DOMAIN = re.compile(rf"{_BEFORE}{_PART}(?:\.{_PART})*$"), re.compile(rf"@{_HOST}(?:\.{_HOST})*\.[^\W\d_]{{2,}}{_AFTER}")
+_SPELLED = [
+    re.compile(rf"(?i){_BEFORE}{_PART}(?:{_DOT}{_PART})*{_BRACKET_AT}{_HOST}(?:{_DOT}{_HOST})*{_DOT}[^\W\d_]{{2,}}{_AFTER}"),
+    re.compile(rf"(?i){_BEFORE}{_PART}(?:{_DOT}{_PART})*(?:@|\sat\s){_HOST}(?:{_DOT}{_HOST})*{_WORD_DOT}[^\W\d_]{{2,}}{_AFTER}"),
+]
+_GERMAN = re.compile(
+    rf"{_B}(?:(?i:am|an der|im|auf der|zum|zur)[ ])?[^\W\d_a-zß-ÿ](?:[^\W\d_]|-)*?(?i:{'|'.join(map(re.escape, GERMAN_ENDS))})[ ]?\d{{1,4}}[ ]?[a-z]?\b(?:,?\s\d{{5}}[ ]{_CAP}(?:[ ]{_CAP})?)?{_E}"
+)
+GROUPS = ["mail", "spelled", *FORMS, "german"]
+NUMBERS = ("abroad", "national", "number")
+JOINED = re.compile(rf"(?i)\s*(?:[,;/&|]|[,;]?\s(?:{JOINING})\s)\s*")
+#: characters around a sign of a spelled or mail address that are looked at
+REACH = 120
+
+
+def beginnings(token: str) -> int:
+    """Which forms a token can begin or give a sign of."""
+    if token[0].isdigit():
+        return NUMBER
+    low = token.lower()
+    return (
+        UNIT * (low in UNITS or token == "#") | ID_LABEL * (low in _LABEL_STARTS) | SIGN * (token in "+(") | CODE * (len(token) <= 2 and token.isupper())
+        | GERMAN * low.endswith(("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer")) | CUE * (low in ("dot", "at")) | WAY * (low in SOUTHERN)
+    )
+
+
+def _windows(places: list[int], reach: int) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for p in places:
+        if out and p - reach <= out[-1][1]:
+            out[-1] = (out[-1][0], p + reach)
+        else:
+            out.append((max(0, p - reach), p + reach))
+    return out
 
-    def bare(word: str) -> str:
-        return _POSSESSIVE.sub("", word)
 
-    def family(j: int) -> tuple[int, bool] | None:
-        """Last word and sureness of a family name from word j on, particles included."""
-        k = j
-        while k < n and words[k][2].casefold() in PARTICLES and gap(k) == " ":
-            k += 1
-        if k >= n:
-            return None
-        word = bare(words[k][2])
-        after = flat[words[k][1]:words[k][1] + 1]
-        if after in "@_" and after or word.endswith("."):
-            return None
-        if gap(k) == " " and words[k + 1][2] in ORGANISATIONS:
-            return None
-        parts = [p for p in word.split("-") if p]
-        known = any(lexicon.is_family(p) for p in parts) or lexicon.is_family(word)
-        shaped = word[:1].isupper() or word[:3].casefold() == "al-"
-        if known or shaped and len(word) >= 3 and word not in STREETS and not lexicon.is_given(word):
-            return k, known
-        return None
+def matches(joined: str, start: np.ndarray, kinds: np.ndarray) -> dict[str, list[tuple[int, int]]]:
+    """Spans of every group of forms in the joined texts of a batch, whose tokens begin at ``start`` and have the ``kinds`` of ``beginnings``.
 
-    while i < n:
-        start, end, word = words[i]
-        following = flat[end:end + 2]
-        plain = bare(word)
-        lead = any(lexicon.is_given(p) for p in plain.split("-")) and not _NUMBERED.match(following)
-        if lead and plain == word:
-            j = i + 1
-            while j < n and gap(j - 1) == " " and (_INITIAL.fullmatch(words[j][2]) or lexicon.is_given(words[j][2])):
-                j += 1
-            got = family(j) if j < n and gap(j - 1) == " " else None
-            if got and not (word.islower() and not got[1]):
-                last = got[0]
-                out.append((start, words[last][0] + len(bare(words[last][2])), got[1]))
-                i = last + 1
-                continue
-        if _INITIAL.fullmatch(word) and gap(i) == " " or _LETTER.fullmatch(word) and flat[end:end + 2] == ". ":
-            j = i + 1
-            while j < n and _INITIAL.fullmatch(words[j][2]) and gap(j) == " ":
-                j += 1
-            got = family(j) if j < n else None
-            if got and got[1]:
-                last = got[0]
-                out.append((start, words[last][0] + len(bare(words[last][2])), True))
-                i = last + 1
-                continue
-        got = family(i)
-        if got and got[1] and got[0] + 1 < n and gap(got[0]) in (", ", " ") and bare(words[got[0]][2]) == words[got[0]][2]:
-            k = got[0] + 1
-            first = words[k][2]
-            comma = gap(got[0]) == ", "
-            initial = comma and _INITIAL.fullmatch(first) is not None
-            if initial or lexicon.is_given(bare(first)):
-                while k + 1 < n and gap(k) == " " and _INITIAL.fullmatch(words[k + 1][2]):
-                    k += 1
-                nextf = family(k + 1) if not comma and k + 1 < n and gap(k) == " " else None
-                if not (nextf and nextf[1]) and not _DASHED.match(flat[words[k][1]:words[k][1] + 2]):
-                    tail = words[k][2] if _INITIAL.fullmatch(words[k][2]) else bare(words[k][2])
-                    out.append((start, words[k][0] + len(tail), True))
-                    i = k + 1
-                    continue
-        i += 1
+    A labelled number's span is the number's. No form reaches over the break between two texts.
+    """
+    out: dict[str, list[tuple[int, int]]] = {g: [] for g in GROUPS}
+    for group, (mask, patterns) in FORMS.items():
+        places = start[np.flatnonzero(kinds & mask)].tolist()
+        name = "v" if group == "labelled" else 0
+        for pattern in patterns:
+            match, done = pattern.match, 0
+            for p in places:
+                if p >= done:
+                    m = match(joined, p)
+                    if m:
+                        done = m.end()
+                        out[group].append(m.span(name))
+    at = joined.find("@")
+    while at >= 0:
+        right = _DOMAIN.match(joined, at)
+        left = _LOCAL.search(joined, max(0, at - REACH), at) if right else None
+        if left:
+            out["mail"].append((left.start(), right.end()))
+        at = joined.find("@", right.end() if right else at + 1)
+    for a, z in _windows(start[np.flatnonzero(kinds & CUE)].tolist(), REACH):
+        for pattern in _SPELLED:
+            out["spelled"] += [m.span() for m in pattern.finditer(joined, a, z)]
+    for a, z in _windows(start[np.flatnonzero(kinds & GERMAN)].tolist(), REACH):
+        out["german"] += [m.span() for m in _GERMAN.finditer(joined, a, z)]
     return out
 
 
-def label_starts(flat: str) -> dict[int, int]:
-    """Places where labelled numbers begin, with the places where their labels do."""
-    return {m.start("v"): m.start() for m in LABELLED.finditer(flat) if _digits(m["v"]) >= 6}
+def form(value: str) -> str:
+    """Lengths of the runs of digits of a number and the marks between them."""
+    return re.sub(r"[A-Za-z]+", "A", re.sub(r"[0-9]+", lambda m: str(len(m.group())), value))
 
 
-def leads(flat: str, found: list[tuple[int, int, str, bool]], labels: dict[int, int]) -> list[tuple[str, str, str]]:
-    """Per candidate, for numbers: last word and last two words before it and its label, and the type it is joined to.
+def shape(token: str) -> str:
+    if token.isdigit():
+        return f"d{min(len(token), 5)}"
+    if not token[:1].isalpha():
+        return "punct"
+    if len(token) == 1:
+        return "X" if token.isupper() else "x"
+    return "XX" if token.isupper() else "Xx" if token[:1].isupper() else "xx"
 
-    A number that a comma or a joining word ties to the candidate before it has that one's words.
-    """
-    out: list[tuple[str, str, str]] = []
-    for i, (s, _, kind, _) in enumerate(found):
-        if kind not in ("ID_NUMBER", "PHONE"):
-            out.append(("", "", ""))
-            continue
-        start = labels.get(s, s)
-        if i and out[-1][0] and found[i - 1][1] <= start and _JOINED.fullmatch(flat, found[i - 1][1], start):
-            out.append((*out[-1][:2], found[i - 1][2]))
-            continue
-        words = [m.group().lower() for m in _LEAD.finditer(flat, max(0, start - 60), start)]
-        words = ["^", "^", *("#" if w[0].isdigit() else "^" if w in ".!?\n" else w for w in words)]
-        out.append((words[-1], " ".join(words[-2:]), ""))
-    return out
 
+#: what a word is, as far as a list tells; classes of neighbours are weighed together
+CLASSES = ["none", "given", "initial", "particle", "title", "organisation", "street", "unit", "capital", "upper", "lower", "number", "punct", "stop"]
+_KIND = {w: c for c, words in (("given", GIVEN), ("particle", PARTICLES), ("title", TITLES), ("organisation", ORGANISATIONS), ("street", STREETS), ("unit", UNITS)) for w in words}
 
-def candidates(flat: str, lexicon: Lexicon, labels: bool = True) -> list[tuple[int, int, str, bool]]:
-    """Non-overlapping (start, end, type, sure) in reading order; surer and longer ones go first.
 
-    Every number of an identity number's shape is one; without label, and in no telling shape, it is unsure, and so is a
-    phone number without country code that has such a shape. Without ``labels``, all are as if they had none.
-    """
-    found: list[tuple[int, int, str, bool, int]] = []
-    if "@" in flat:
-        found += [(m.start(), m.end(), "EMAIL", True, 0) for m in EMAIL.finditer(flat)]
-    if _SPELLED_CUE.search(flat):
-        for p in SPELLED:
-            found += [(m.start(), m.end(), "EMAIL", True, 0) for m in p.finditer(flat)]
-    if any(c.isdigit() for c in flat):
-        for m in LABELLED.finditer(flat) if labels else ():
-            if _digits(m["v"]) >= 6:
-                found.append((*m.span("v"), "ID_NUMBER", True, 1))
-        for p in BARE_IDS:
-            found += [(m.start(), m.end(), "ID_NUMBER", True, 2) for m in p.finditer(flat)]
-        for m in SHAPED.finditer(flat):
-            if _digits(m.group()) >= 6:
-                found.append((*m.span(), "ID_NUMBER", False, 5))
-        for p in PHONES:
-            for m in p.finditer(flat):
-                s, e = m.span()
-                while e > s and not flat[e - 1].isdigit():
-                    e -= 1
-                if 9 <= _digits(flat[s:e]) <= 15:
-                    found.append((s, e, "PHONE", SHAPED.fullmatch(flat[s:e]) is None, 3))
-        for p in ADDRESSES:
-            for m in p.finditer(flat):
-                s, e = m.span()
-                cut = _ADDRESS_STOP.search(flat[s:e])
-                if cut:
-                    e = s + cut.start()
-                    e = s + len(flat[s:e].rstrip(" ,"))
-                found.append((s, e, "ADDRESS", True, 1))
-    found += [(s, e, "NAME", sure, 4) for s, e, sure in name_spans(flat, lexicon)]
-    found.sort(key=lambda x: (x[4], -(x[1] - x[0]), x[0]))
-    taken: list[tuple[int, int, str, bool]] = []
-    used = bytearray(len(flat))
-    for s, e, kind, sure, _ in found:
-        if s < e and not any(used[s:e]):
-            used[s:e] = b"\1" * (e - s)
-            taken.append((s, e, kind, sure))
-    taken.sort()
-    # a label holds for the numbers joined to the labelled one; after a comma or bar a phone number's shape may be one
-    for i in range(1, len(taken)):
-        (_, stop, before, known), (s, e, kind, sure) = taken[i - 1:i + 1]
-        if known and before == "ID_NUMBER" and not sure and kind in ("ID_NUMBER", "PHONE") and _JOINED.fullmatch(flat, stop, s):
-            if kind == "ID_NUMBER" or any(c.isalpha() for c in flat[stop:s]):
-                taken[i] = (s, e, "ID_NUMBER", True)
-    return taken
+def word_class(token: str, given: frozenset[str]) -> str:
+    kind = shape(token)
+    if kind[0] == "d":
+        return "number"
+    if kind == "punct":
+        return "stop" if token in ".!?;:" else "punct"
+    key = name_key(token)
+    listed = _KIND.get(key) or _KIND.get(token.lower())
+    if listed and listed != "given":
+        return listed
+    if listed == "given" or key in given:
+        return "given"
+    return {"X": "initial", "x": "lower", "XX": "upper", "Xx": "capital", "xx": "lower"}[kind]

@@ -1,4 +1,6 @@
+import re
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 from lodescan.llm import language as LG
 from lodescan.llm import lookalike as LK
 from lodescan.llm import pii as P
-from lodescan.llm.pii_patterns import candidates, flattened
+from lodescan.llm import pii_synthetic as SY
+from lodescan.llm.pii_patterns import flattened, matches
 
 FORMS = [
     ("Åsledspire Offices Ltd", "Åsleds­pire Offiсеs Ltd"), ("velvetpoint-ledger-v19", "ｖｅｌｖｅｔｐｏｉｎｔ－ｌｅｄｇｅｒ－ｖ１９"),
@@ -46,8 +49,7 @@ def test_lookalikes_against_brute_force(spark):
 
 
 def spans(text):
-    doc = P.Document(text, P.trained().lexicon)
-    return {(text[s:e], kind) for s, e, kind, _ in P.entities([doc], P.trained())[0]}
+    return {(text[s:e], kind) for s, e, kind, _ in P.entities([text], P.trained())[0]}
 
 
 @pytest.mark.parametrize("text,expected", [
@@ -88,43 +90,74 @@ def test_long_text_is_read_to_its_end():
     assert ("Jörg Luntquist", "NAME") in found and ("+1 938 555 0192", "PHONE") in found
 
 
+def labelled(path):
+    """Lines with their entities marked as in the file."""
+    out = []
+    for line in path.read_text(encoding="utf-8").splitlines():
+        text, known = "", []
+        for piece in re.split("(⟦[^⟧]+⟧)", line):
+            kind, _, value = piece[1:-1].partition(":") if piece.startswith("⟦") else ("", "", piece)
+            known += [(len(text), len(text) + len(value), kind)] if kind else []
+            text += value
+        out.append((text, known))
+    return out
+
+
+def test_plain_prose():
+    """Sentences written for this test, about people and things no template speaks of."""
+    made = labelled(Path(__file__).parent / "prose.txt")
+    recall, precision = P.agreement(made, P.entities([t for t, _ in made], P.trained()))
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
+def test_held_out_templates():
+    made = list(SY.texts({}, 400, 31, held_out=True))
+    recall, precision = P.agreement(made, P.entities([t for t, _ in made], P.trained()))
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
+def test_made_texts_know_their_spans():
+    for text, known in SY.texts({"full_name": ["Ada Byron"], "phone": ["+44 20 7946 0000"]}, 200, 4, held_out=False):
+        assert all(0 <= a < z <= len(text) and text[a:z] == text[a:z].strip() for a, z, _ in known)
+        assert all(x[1] <= y[0] for x, y in zip(known, known[1:]))
+    fit, held = SY.templates(False), SY.templates(True)
+    assert not set(fit[0]) & set(held[0]) and not set(fit[1]) & set(held[1]) and len(held[0]) > 20
+
+
 def test_ties_carry_labels():
-    model = P.trained()
-    # one tie, from the occurrence beside the given name to the bare one
-    doc = P.Document("Signed off by Jörg Luntquist. Later Luntquist called.", model.lexicon)
-    assert len(doc.ties) == 1
-    with_ties = P.marginals([doc], model)[0]
-    doc.ties = []
-    without = P.marginals([doc], model)[0]
-    name = P.INDEX["NAME"]
-    i = [k for k, (s, e) in enumerate(doc.spans) if doc.flat[s:e] == "Luntquist"][1]
-    gain = lambda b: b[i, name] - b[i, 0]
-    assert gain(with_ties) > gain(without)
-
-
-def test_message_passing_is_exact_on_a_tree():
-    import itertools
+    # clear in one place, said in passing in the other
+    text = "Dear Mr Vaclav Hrubosz, thank you. Hrubosz 17 is a number of rows."
+    b = P.Batch([text], P.trained())
+    assert [[b.tokens[i] for i in t] for t in b.ties] == [["Hrubosz", "Hrubosz"]]
+    i = b.ties[0, 1]
+    names = [P.LABELS.index("B-NAME"), P.LABELS.index("I-NAME")]
+    assert P.beliefs(b)[0][i, names].sum() > P.beliefs(b, ties=False)[0][i, names].sum()
 
-    import numpy as np
+
+def test_ties_do_not_cross_texts():
+    assert len(P.Batch(["Vaclav Hrubosz", "Hrubosz 17"], P.trained()).ties) == 0
+    texts = ["Name: Ada Byron", "", None, "call +44 20 7946 0123", "x" * 5000, "Ada Byron"]
+    assert P.entities(texts, P.trained()) == [P.entities([t], P.trained())[0] for t in texts]
+
+
+def test_message_passing_is_exact_on_a_chain():
+    import itertools
 
     model = P.trained()
-    doc = P.Document("Jörg Luntquist +1", model.lexicon)
-    doc.ties = []
-    unary = model.unary(doc.features)
-    total = np.zeros_like(unary)
-    for labels in itertools.product(range(P.K), repeat=len(unary)):
-        score = sum(unary[i, y] for i, y in enumerate(labels)) + sum(model.transition[a, b] for a, b in zip(labels, labels[1:]))
+    b = P.Batch(["Jörg Luntquist +1"], model)
+    unary = b.unary()
+    total = np.zeros_like(unary, dtype=np.float64)
+    for labels in itertools.product(range(P.K), repeat=b.n):
+        score = sum(float(unary[i, y]) for i, y in enumerate(labels)) + sum(float(model.transition[x, y]) for x, y in zip(labels, labels[1:]))
         for i, y in enumerate(labels):
             total[i, y] += np.exp(score)
-    belief = P.marginals([doc], model)[0]
-    share = np.exp(belief - belief.max(axis=1, keepdims=True))
-    assert np.allclose(share / share.sum(axis=1, keepdims=True), total / total.sum(axis=1, keepdims=True), atol=1e-6)
+    assert b.n == 4 and np.allclose(P.beliefs(b)[0], total / total.sum(axis=1, keepdims=True), atol=1e-4)
 
 
-def test_candidates_do_not_overlap():
-    flat, _ = flattened("Flat 9, 18 Quillbridge Crescent, Roecombe, QV1 6BA; 020 7946 0303")
-    found = candidates(flat, P.trained().lexicon)
-    assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and [f[2] for f in found] == ["ADDRESS", "PHONE"]
+def test_forms_stay_within_their_text():
+    b = P.Batch(["tel 020 7946", "0303 and Flat 9, 18 Quillbridge Crescent"], P.trained())
+    found = matches(b.joined, b.start, b.model.begins[b.ids])
+    assert found["english"] == [(b.joined.index("Flat"), len(b.joined))] and not found["national"]
 
 
 EN = "The scan reads every folder twice. The owner reviews the old list before the release. "

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 DIMENSIONS, SEED = 2048, 20170
 LANGUAGES = ["en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "tr", "ru", "ja"]
+#: code of texts that resemble no known language (least cosine of a stretch with its language), or hold no sentence
+UNKNOWN, LEAST_COSINE = "und", 0.05
 #: price of a change of language between sentences, in cosine times SHARPNESS; less between close languages
 SHARPNESS, CHANGE = 40.0, 6.0
 MODEL = "models/language_prototypes.npy"
@@ -201,7 +203,9 @@ def stretches(text: str, profiles: Profiles) -> list[tuple[int, int, int, str, f
         if i == len(path) or path[i] != path[first]:
             mean = scores[first:i].mean(axis=0)
             share = np.exp(mean - mean.max())
-            out.append((len(out), found[first][0], found[i - 1][1], LANGUAGES[path[first]], float(share[path[first]] / share.sum())))
+            known = mean[path[first]] >= SHARPNESS * LEAST_COSINE
+            code, sure = (LANGUAGES[path[first]], float(share[path[first]] / share.sum())) if known else (UNKNOWN, 0.0)
+            out.append((len(out), found[first][0], found[i - 1][1], code, sure))
             first = i
     return out
 
@@ -237,13 +241,24 @@ def language_segments(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def document_languages(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The main language of every document (most characters) with confidence and number of languages."""
-    parts = language_segments(df, doc_id, text).withColumn("_n", F.col("end_ix") - F.col("start_ix"))
-    by = parts.groupBy(doc_id, "lang_code").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("confidence")).alias("_c"))
-    return by.groupBy(doc_id).agg(
-        F.max_by("lang_code", F.struct("_n", "lang_code")).alias("lang_code"),
-        F.max_by(F.round(F.col("_c") / F.col("_n"), 4), F.struct("_n", "lang_code")).alias("confidence"),
-        F.count("*").alias("languages"),
+    """The main language of every document (most characters) with confidence and number of languages.
+
+    Every row of ``df`` gives one: documents without a sentence (null, empty, numbers or log lines only) have the code
+    ``und``, confidence 0 and no language, as have texts that resemble none of the known ones. No row is shuffled.
+    """
+    parted = df.select(F.col(f"`{doc_id}`").alias(doc_id), _segmenter()(F.col(f"`{text}`")).alias("_s"))
+    codes = F.array_distinct(F.transform("_s", lambda x: x["lang_code"]))
+
+    def share(code: Column) -> Column:
+        mine = F.filter("_s", lambda x: x["lang_code"] == code)
+        chars = F.aggregate(mine, F.lit(0), lambda a, x: a + x["end_ix"] - x["start_ix"])
+        weighed = F.aggregate(mine, F.lit(0.0), lambda a, x: a + (x["end_ix"] - x["start_ix"]) * x["confidence"])
+        return F.struct(chars.alias("n"), code.alias("lang_code"), F.round(weighed / chars, 4).alias("confidence"))
+
+    main = F.array_max(F.transform(codes, share))
+    rows = parted.select(doc_id, main.alias("_m"), F.size(F.filter(codes, lambda c: c != UNKNOWN)).alias("languages"))
+    return rows.select(
+        doc_id, F.coalesce("_m.lang_code", F.lit(UNKNOWN)).alias("lang_code"), F.coalesce("_m.confidence", F.lit(0.0)).alias("confidence"), F.col("languages").cast("long").alias("languages"),
     )
 
 
@@ -255,7 +270,7 @@ def mislabelled(df: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
     )
     first = F.try_element_at("_segments", F.lit(1)).getField("lang_code")
     wrong = (F.size("_segments") > 1) | F.coalesce(first != F.col("_label"), F.lit(True))
-    return parted.where((F.size("_segments") > 0) & wrong).select(doc_id, F.inline("_segments"))
+    return parted.where((F.size("_segments") > 0) & wrong).select(doc_id, F.inline("_segments")).where(F.col("lang_code") != UNKNOWN)
 
 
 def fit_prototypes(labelled: pd.DataFrame, rounds: int = 3) -> np.ndarray:

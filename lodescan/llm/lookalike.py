@@ -8,6 +8,7 @@ value is given the canonical member of its group, the least one in code point or
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodescan.runtime import checkpointed, spread
+from lodescan.runtime import checkpointed, small, spread
 
 COLLATION = "UNICODE"
 
@@ -82,28 +83,32 @@ def mapping() -> dict[str, str]:
 
 
 def mapped(value: Column) -> Column:
-    """The look-alike-mapped value, in the engine."""
+    """The look-alike-mapped value, in the engine: the whole of ``mapping``.
+
+    Characters that stand for one other or for nothing are translated at once; only values that hold one which stands for
+    several are taken apart.
+    """
     table = mapping()
     single = {c: to for c, to in table.items() if len(to) == 1}
     gone = "".join(c for c, to in table.items() if to == "")
+    several = {c: to for c, to in table.items() if len(to) > 1}
     out = F.translate(value, "".join(single) + gone, "".join(single.values()))
-    # ligatures and other characters that stand for several letters
-    several = {c: to for c, to in table.items() if len(to) > 1 and to.isascii() and to.isalpha()}
-    wide = out
-    for c, to in several.items():
-        wide = F.replace(wide, F.lit(c), F.lit(to))
+    pairs = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    wide = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
     return F.when(F.translate(out, "".join(several), "") != out, wide).otherwise(out)
 
 
 def canonical_members(values: DataFrame, value: str) -> DataFrame:
     """Each different value and the canonical member of its class: columns ``value``, ``canonical``.
 
-    Null has no class and gives no row; values that show nothing share the class of the empty text.
+    The canonical member is the least of the class in code point order, found by a combining aggregation and joined back
+    by class, so that no class is gathered anywhere. Null has no class and gives no row; values that show nothing share
+    the class of the empty text.
     """
     different = values.select(F.col(f"`{value}`").alias("value")).where(F.col("value").isNotNull()).distinct()
     keyed = different.withColumn("_class", F.collate(mapped(F.col("value")), COLLATION))
-    classes = keyed.groupBy("_class").agg(F.min("value").alias("canonical"), F.collect_set("value").alias("_members"))
-    return classes.select(F.explode("_members").alias("value"), "canonical")
+    classes = keyed.groupBy(F.col("_class").alias("_of")).agg(F.min("value").alias("canonical"))
+    return keyed.join(classes, F.col("_class") == F.col("_of")).select("value", "canonical")
 
 
 def canonicalised(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
@@ -172,20 +177,32 @@ def stretch_finder(values: list[str]):
     return find
 
 
+#: bytes of references that go to every task at once; more are searched for shard by shard
+SHARD_BYTES = 32 << 20
+
+
+def reference_shards(refs: DataFrame, ref_value: str) -> list[list[str]]:
+    """The different references in shards of about ``SHARD_BYTES`` at most."""
+    listed = refs.select(F.col(f"`{ref_value}`").alias("_v")).where("_v <> ''").distinct()
+    size = listed.agg(F.sum(F.octet_length("_v"))).first()[0] or 0
+    n = max(1, -(-size // SHARD_BYTES))
+    part = F.pmod(F.xxhash64("_v"), F.lit(n))
+    return [[r[0] for r in listed.where(part == i).collect()] for i in range(n)]
+
+
 def lookalikes(
-    cells: DataFrame, cell_id: str, cell_value: str, texts: DataFrame, text_id: str, text: str,
-    refs: DataFrame, ref_id: str, ref_value: str, *, most_refs: int = 1_000_000,
+    cells: DataFrame, cell_id: str, cell_value: str, texts: DataFrame, text_id: str, text: str, refs: DataFrame, ref_id: str, ref_value: str,
 ) -> DataFrame:
     """Whole cells and stretches of texts that look like a reference value without being the same characters.
 
-    Result: src (``cell`` or ``blob``), row_id, ref_id, each once. The reference list must be small (its
-    patterns go to every task); a list beyond ``most_refs`` is refused. Nulls and values that show nothing
-    match nothing. All classes are formed over all cells, stretches and references.
+    Result: src (``cell`` or ``blob``), row_id, ref_id, each once. The stretches of texts are looked for with automata of the
+    references; more than ``SHARD_BYTES`` of references are searched for shard by shard, each over all texts. Nulls and
+    values that show nothing match nothing. All classes are formed over all cells, stretches and references.
     """
-    listed = [r[0] for r in refs.select(ref_value).where(F.col(ref_value).isNotNull()).distinct().limit(most_refs + 1).collect()]
-    if len(listed) > most_refs:
-        raise ValueError(f"more than {most_refs} reference values")
-    found = spread(texts.select(text_id, text)).select(F.col(text_id).alias("row_id"), F.explode(stretch_finder(listed)(F.col(text))).alias("value"))
+    found = None
+    for shard in reference_shards(refs, ref_value):
+        part = spread(texts.select(text_id, text)).select(F.col(text_id).alias("row_id"), F.explode(stretch_finder(shard)(F.col(text))).alias("value"))
+        found = part if found is None else found.unionByName(part)
     found = checkpointed(found)  # read by the classes and by the result; finding is the dear part
     ours = cells.select(F.lit("cell").alias("src"), F.col(cell_id).alias("row_id"), F.col(cell_value).alias("value"))
     theirs = found.select(F.lit("blob").alias("src"), "row_id", "value")
@@ -193,7 +210,7 @@ def lookalikes(
     wanted = refs.select(F.col(ref_id).alias("ref_id"), F.col(ref_value).alias("value")).where(F.col("value").isNotNull())
     members = canonical_members(rows.select("value").unionByName(wanted.select("value")), "value")
     named = wanted.join(members, "value").select("ref_id", F.col("value").alias("ref"), F.col("canonical").alias("ref_canonical"))
-    pairs = members.join(named, F.col("canonical") == F.col("ref_canonical")).where(
+    pairs = members.join(small(named), F.col("canonical") == F.col("ref_canonical")).where(
         (F.col("value") != F.col("ref")) & (mapped(F.col("value")) != "")
     ).select(F.col("value").alias("v"), "ref_id")
     return rows.join(pairs, F.col("value") == F.col("v")).select("src", "row_id", "ref_id").distinct()

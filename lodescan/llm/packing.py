@@ -72,19 +72,24 @@ def _shard_packer(names: list[str]):
 
 def pack_documents(
     docs: DataFrame, doc_id: str, n_tokens: str, plans: DataFrame, plan_id: str, capacity: str, *,
-    shard_docs: int = SHARD_DOCS, most_plans: int = 1000,
+    shard_docs: int = SHARD_DOCS, plans_at_once: int = 1000,
 ) -> DataFrame:
     """Pieces of documents with their containers, for every plan.
 
     Result: plan_id, doc_id, piece_ix, pieces, start_token, tokens, container_id. ``docs`` has one row per
     document with its size. A document is split only if it exceeds the capacity: full containers from its
     start, and a rest that is packed with others. Documents without tokens (null or 0) come out with a null
-    container and no piece. Plans with a null or non-positive capacity give no rows; more than ``most_plans``
-    plans are refused. Repeated rows of a document are packed as often as they occur.
+    container and no piece. Plans with a null or non-positive capacity give no rows; many plans are gone through in
+    blocks of ``plans_at_once``. Repeated rows of a document are packed as often as they occur.
     """
-    listed = plans.select(plan_id, F.col(capacity).cast("long")).where(F.col(capacity) > 0).distinct().limit(most_plans + 1).collect()
-    if len(listed) > most_plans:
-        raise ValueError(f"more than {most_plans} plans")
+    listed = plans.select(plan_id, F.col(capacity).cast("long")).where(F.col(capacity) > 0).distinct().collect()
+    if len(listed) > plans_at_once:
+        out = None
+        for at in range(0, len(listed), plans_at_once):
+            some = plans.where(F.struct(plan_id, F.col(capacity).cast("long")).isin(*[F.struct(F.lit(p).cast(plans.schema[plan_id].dataType), F.lit(c).cast("long")) for p, c in listed[at:at + plans_at_once]]))
+            part = pack_documents(docs, doc_id, n_tokens, some, plan_id, capacity, shard_docs=shard_docs, plans_at_once=plans_at_once)
+            out = part if out is None else out.unionByName(part)
+        return out
     types = {"_plan": plans.schema[plan_id].dataType.simpleString(), "_doc": docs.schema[doc_id].dataType.simpleString()}
     wanted = F.array(*[F.struct(F.lit(p).cast(types["_plan"]).alias("_plan"), F.lit(c).cast("long").alias("_capacity")) for p, c in listed])
     if not listed:

@@ -13,6 +13,7 @@ Every subset of the wanted size is equally likely. All draws are seeded by (seed
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql.window import Window
 LEAF_ROWS = 100_000
 #: rows of a sample (three short columns) that are sent to every task; larger samples are joined by a shuffle
 MOST_BROADCAST = 200_000
-#: the library's generator takes no larger populations
-_LARGEST = 900_000_000
+#: leaves whose quotas are split at once; of more, bundles of leaves come first
+BUNDLE_LEAVES = 1000
 
 
 def generator(*parts: object) -> np.random.Generator:
@@ -35,17 +36,36 @@ def generator(*parts: object) -> np.random.Generator:
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` draws without replacement hit the ``good`` ones."""
-    if draws == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return draws
-    if good + bad < _LARGEST:
-        return int(rng.hypergeometric(good, bad, draws))
-    hits = 0
-    for i in range(draws):
-        hits += rng.random() * (good + bad - i) < good - hits
-    return hits
+    """How many of ``draws`` draws without replacement hit the ``good`` ones, by inversion from the most likely number outwards.
+
+    The chances of neighbouring numbers follow from one another, so that the work grows with the spread, not with the
+    numbers: a population of any size takes as many steps as the root of the draws.
+    """
+    total = good + bad
+    low, high = max(0, draws - bad), min(draws, good)
+    if low >= high:
+        return low
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    top = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(total, draws))
+    u, up, down, p_up, p_down = rng.random(), mode, mode, top, top
+    u -= top
+    while u > 0 and (up < high or down > low):
+        if up < high:
+            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
+            up += 1
+            u -= p_up
+            if u <= 0:
+                return up
+        if down > low:
+            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
+            down -= 1
+            u -= p_down
+            if u <= 0:
+                return down
+        if p_up + p_down < 1e-300:
+            break
+    return mode
 
 
 def split_quota(rng: np.random.Generator, sizes: list[int], k: int) -> list[int]:
@@ -92,14 +112,15 @@ def select_places(rng: np.random.Generator, size: int, quota: int) -> np.ndarray
     return kept
 
 
-def _quotas(seed: int):
+def _quotas(seed: int, level: str):
+    """Splits a quota among the parts of one group (and bundle): columns _part, _size, _k in; _quota and population out."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_leaf", kind="stable")
-        group, k = pdf["_group"].iloc[0], int(pdf["_k"].iloc[0])
+        pdf = pdf.sort_values("_part", kind="stable")
         sizes = [int(x) for x in pdf["_size"]]
         total = sum(sizes)
-        quotas = split_quota(generator(seed, group), sizes, min(max(k, 0), total))
-        out = pdf[["_group", "_leaf", "_size"]].assign(_quota=quotas, population=total)
+        quotas = split_quota(generator(seed, level, pdf["_group"].iloc[0], pdf["_bundle"].iloc[0]), sizes, min(max(int(pdf["_k"].iloc[0]), 0), total))
+        out = pdf[["_group", "_bundle", "_part", "_size"]].assign(_quota=quotas, population=total)
         return out[out["_quota"] > 0]
 
     return run
@@ -145,12 +166,27 @@ def sample_records(
         "_group", F.concat_ws("/", F.coalesce(F.col("_piece").cast("string"), F.lit("-")), "_bucket").alias("_leaf"), "_record", "_piece"
     )
     counted = leaves.groupBy("_group", "_leaf").agg(F.count("*").alias("_size"))
-    joined = counted.join(plan.withColumnRenamed("_group", "_g"), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g")
+    # a tree of two levels: the group's bundles of leaves, then the leaves of each bundle, so that no task holds all leaves of a group
+    bundles = arrived.select(F.col("_group").alias("_g"), F.ceil(F.col("_rows") / (leaf_rows * BUNDLE_LEAVES)).cast("int").alias("_n"))
+    counted = counted.join(bundles, F.col("_group").eqNullSafe(F.col("_g"))).select(
+        "_group", F.pmod(F.xxhash64("_leaf"), F.col("_n")).cast("int").alias("_bundle"), F.col("_leaf").alias("_part"), "_size"
+    )
     kind = df.schema[group].dataType
-    quotas = joined.groupBy("_group").applyInPandas(_quotas(seed), T.StructType([
-        T.StructField("_group", kind), T.StructField("_leaf", T.StringType()), T.StructField("_size", T.LongType()),
-        T.StructField("_quota", T.LongType()), T.StructField("population", T.LongType()),
-    ]))
+
+    def split(rows: DataFrame, keys: list[str], level: str, part: T.DataType) -> DataFrame:
+        return rows.groupBy(*keys).applyInPandas(_quotas(seed, level), T.StructType([
+            T.StructField("_group", kind), T.StructField("_bundle", T.IntegerType()), T.StructField("_part", part), T.StructField("_size", T.LongType()),
+            T.StructField("_quota", T.LongType()), T.StructField("population", T.LongType()),
+        ]))
+
+    upper = counted.groupBy("_group", "_bundle").agg(F.sum("_size").alias("_size")).withColumn("_part", F.col("_bundle")).withColumn("_bundle", F.lit(0))
+    upper = split(upper.join(plan.withColumnRenamed("_group", "_g"), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g"), ["_group"], "bundles", T.IntegerType())
+    upper = upper.select(F.col("_group").alias("_g"), F.col("_part").alias("_b"), F.col("_quota").alias("_k"), F.col("population").alias("_all"))
+    lower = counted.join(upper, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_bundle") == F.col("_b")))
+    quotas = split(lower.drop("_g", "_b", "_all"), ["_group", "_bundle"], "leaves", T.StringType())
+    quotas = quotas.drop("population").join(upper.drop("_k"), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_bundle") == F.col("_b"))).select(
+        "_group", F.col("_part").alias("_leaf"), "_size", "_quota", F.col("_all").alias("population")
+    )
     places = quotas.mapInPandas(_places(seed), T.StructType([
         T.StructField("_group", kind), T.StructField("_leaf", T.StringType()), T.StructField("_place", T.LongType()),
         T.StructField("population", T.LongType()),

@@ -109,15 +109,16 @@ def test_quality(spark, text, least, most):
     assert least <= q <= most
 
 
-def test_budget_is_filled_from_documents_far_behind_its_end(spark, monkeypatch):
-    """With one document tried at the end, later ones still fill the room, as in one pass over all in key order."""
+def test_budget_is_filled_from_documents_far_behind_its_end(spark):
+    """However small the ranges, the same documents are taken as in one pass over all in key order."""
     docs = spark.createDataFrame([(i, "a", 10 if i % 20 == 0 else 1000, 1.0) for i in range(3000)] + [(10_000 + i, "b", 7, 1.0) for i in range(300)], "doc_id long, source string, tokens long, weight double")
     targets = spark.createDataFrame([("m", "a", 0.9, 1), ("m", "b", 0.1, 1)], "mix_id string, source string, share double, max_repeats int")
-
-    def chosen():
-        return {(r.source, r.doc_id, r.copies) for r in M.mix_documents(docs, targets, ranges=64).collect()}
-
-    monkeypatch.setattr(M, "EDGE_DOCS", 10_000)
-    whole = chosen()
-    monkeypatch.setattr(M, "EDGE_DOCS", 1)
-    assert chosen() == whole
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", (-F.log(M.uniform(F.lit("m"), F.col("doc_id"), seed=23))).alias("k")).collect()}
+    room, whole = 300 * 7 * 9, set()
+    for doc, size in sorted(((i, 10 if i % 20 == 0 else 1000) for i in range(3000)), key=lambda d: (keys[d[0]], d[0])):
+        if size <= room:
+            whole.add(doc)
+            room -= size
+    for range_docs in (3, 1000):
+        got = M.mix_documents(docs, targets, range_docs=range_docs).where("source = 'a'").collect()
+        assert {r.doc_id for r in got} == whole and all(r.copies == 1 for r in got)

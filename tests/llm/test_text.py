@@ -197,6 +197,30 @@ def test_mislabelled_rows(spark):
     assert LG.mislabelled(df.limit(0), "id", "t", "lang").count() == 0
 
 
+def test_every_document_has_a_row(spark):
+    df = spark.createDataFrame([(1, EN), (2, None), (3, ""), (4, "12:30 17"), (5, EN + DE * 2), (6, "昨天我去商店买了一些面包做晚饭。"), (7, "Χθες πήγα στο μαγαζί και αγόρασα ψωμί για το βραδινό.")], "i int, t string")
+    got = {r.i: (r.lang_code, r.languages) for r in LG.document_languages(df, "i", "t").collect()}
+    assert got == {1: ("en", 1), 2: ("und", 0), 3: ("und", 0), 4: ("und", 0), 5: ("de", 2), 6: ("und", 0), 7: ("und", 0)}
+    assert LG.document_languages(df.limit(0), "i", "t").count() == 0
+
+
+def test_mapping_is_the_same_in_the_engine_and_in_texts(spark):
+    """Every character of the mapping, also those that stand for several others."""
+    df = spark.createDataFrame([(c, f"a{c}b") for c in LK.mapping()], "c string, v string").select("c", "v", LK.mapped(F.col("v")).alias("m"))
+    wrong = [r.c for r in df.collect() if unicodedata.normalize("NFD", r.m) != unicodedata.normalize("NFD", f"a{LK.mapping()[r.c]}b")]
+    assert not wrong
+
+
+def test_references_in_shards(spark, monkeypatch):
+    make = lambda rows, s: spark.createDataFrame(rows, s)
+    refs = make([(i, f"acme-v{i}") for i in range(12)], "r long, v string")
+    args = (make([(1, "аcme-v3")], "i long, v string"), "i", "v", make([(7, "see асme-v1, and асme-v11.")], "i long, t string"), "i", "t", refs, "r", "v")
+    whole = {tuple(r) for r in LK.lookalikes(*args).collect()}
+    monkeypatch.setattr(LK, "SHARD_BYTES", 20)
+    assert len(LK.reference_shards(refs, "v")) > 3
+    assert {tuple(r) for r in LK.lookalikes(*args).collect()} == whole == {("cell", 1, 3), ("blob", 7, 1), ("blob", 7, 11)}
+
+
 def test_vectors_of_orders_differ():
     import numpy as np
 

@@ -46,4 +46,8 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_report": p7_report}
-ORACLES: dict[str, str] = {}
+#: characters a document longer than its container surely has for each token of the container; no document lies near that size
+CHARS_A_TOKEN = 3
+ORACLES: dict[str, str] = {
+    "p6_found": f"SELECT DISTINCT doc_id FROM documents, pack_plans WHERE plan_id = 3 AND length(text) > {CHARS_A_TOKEN} * capacity_tokens",
+}

@@ -103,36 +103,38 @@ def fingerprint_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("cell_id", N.fingerprint(F.col("cell_value")).alias("value_hash"))
 
 
-def _given(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "value string")
-
-
-_NUMBERS = ["4111111111111111", "4111111111111112", "378282246310005", "123", "", "0000000000000", "4556-7375-8689-9855", "79927398713"]
-_IBANS = ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013001", "XX", "AL47212110090000000235698741"]
-_ABAS = ["121000358", "322271627", "121000359", "12100035", "000000000"]
-_VERHOEFF = ["312345678909", "236", "237", "12345678902", "", "400123456787"]
-_ODD = ["111-22-3333", "000-00-0000", "1234567890", "1637281916", "1637281916779", "219-09-9999", "9999999999"]
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different run of digits and of letters with digits in texts and cells, separators left out."""
+    runs = _found(_texts(spark, sf_dir), "text", "([A-Z]{0,2}[0-9][0-9A-Z .-]{4,30}[0-9A-Z])").select("value")
+    cells = _cells(spark, sf_dir).select(F.col("cell_value").alias("value"))
+    return runs.unionByName(cells).select(F.upper(F.regexp_replace("value", "[^0-9A-Za-z]", "")).alias("value")).where(F.length("value").between(6, 34)).distinct()
 
 
 def luhn_validator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark, _NUMBERS).select("value", N.luhn(F.col("value")).alias("ok"))
+    return _numbers(spark, sf_dir).where(F.col("value").rlike("^[0-9]+$")).select("value", N.luhn(F.col("value")).alias("ok"))
 
 
 def iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark, _IBANS).select("value", N.iban_mod97(F.col("value")).alias("ok"))
+    """Remainders of everything that is written like an account number, and of numbers with the country and check digits of none."""
+    v = _numbers(spark, sf_dir)
+    made = v.where(F.col("value").rlike("^[0-9]{10,20}$")).select(F.concat(F.lit("DE"), F.substring("value", 1, 20)).alias("value"))
+    return v.unionByName(made).distinct().select("value", N.iban_mod97(F.col("value")).alias("ok"))
 
 
 def aba_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark, _ABAS).select("value", N.weighted_check(F.col("value"), [3, 7, 1] * 3, 10).alias("ok"))
+    v = _numbers(spark, sf_dir).where(F.col("value").rlike("^[0-9]{9,}$")).select(F.substring("value", 1, 9).alias("value")).distinct()
+    return v.select("value", N.weighted_check(F.col("value"), [3, 7, 1] * 3, 10).alias("ok"))
 
 
 def verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _given(spark, _VERHOEFF).select("value", N.verhoeff(F.col("value")).alias("ok"))
+    return _numbers(spark, sf_dir).where(F.col("value").rlike("^[0-9]+$")).select("value", N.verhoeff(F.col("value")).alias("ok"))
 
 
 def filler_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    return _given(spark, _ODD).select("value", N.repeated_digits(v).alias("filler"), N.like_epoch(v).alias("epoch"))
+    raw = _found(_texts(spark, sf_dir), "text", "([0-9][0-9 .-]{4,20}[0-9])").select("value")
+    raw = raw.unionByName(_cells(spark, sf_dir).select(F.col("cell_value").alias("value")).where(v.rlike("^[0-9][0-9 .-]*$"))).distinct()
+    return raw.select("value", N.repeated_digits(v).alias("filler"), N.like_epoch(v).alias("epoch"))
 
 
 def text_line_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,13 +198,17 @@ _LUHN = ("list_sum(list_transform(range(1, length({0})::BIGINT + 1), lambda i: C
          "WHEN substr({0}, i, 1)::INT > 4 THEN substr({0}, i, 1)::INT * 2 - 9 ELSE substr({0}, i, 1)::INT * 2 END)) % 10 = 0")
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    def one(x: object) -> str:
-        return "NULL" if x is None else str(x) if isinstance(x, (bool, int)) else f"'{x}'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
-
-
+# the check's two tables by rule: products in the symmetries of a pentagon, and the eight powers of its permutation
+_VERHOEFF_PRODUCTS = "".join(str((a + b) % 5 if a < 5 and b < 5 else 5 + (a + b - 5) % 5 if a < 5 else 5 + (a - 5 - b) % 5 if b < 5 else (a - b) % 5) for a in range(10) for b in range(10))
+_POWERS = [list(range(10))]
+for _ in range(7):
+    _POWERS.append([_POWERS[-1][x] for x in (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)])
+_VERHOEFF_PLACES = "".join(str(x) for row in _POWERS for x in row)
+_IBAN_FORM = "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+_NUMBERS = """, n AS (SELECT DISTINCT upper(regexp_replace(v, '[^0-9A-Za-z]', '', 'g')) AS value FROM (
+    SELECT unnest(regexp_extract_all(text, '([A-Z]{0,2}[0-9][0-9A-Z .-]{4,30}[0-9A-Z])', 1)) AS v FROM t
+    UNION ALL SELECT cell_value FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND cell_value <> '')
+    WHERE length(regexp_replace(v, '[^0-9A-Za-z]', '', 'g')) BETWEEN 6 AND 34) """
 _DEMO = " OR ".join(f"ends_with(dom, '{e}')" for e in DEMO_ENDINGS) + " OR dom IN (" + ", ".join(f"'{x}'" for x in sorted(DEMO_DOMAINS)) + ")"
 _WORD_COUNT = " + ".join(f"regexp_matches(' ' || lower(text) || ' ', '[^a-z0-9_]{w}[^a-z0-9_]')::INT" for w in HEALTH_WORDS)
 ORACLES = {
@@ -210,12 +216,14 @@ ORACLES = {
         UNION ALL SELECT 'c_mktsegment', count(*), count(DISTINCT c_mktsegment) FROM customer WHERE c_mktsegment <> ''""",
     "flatten_json_props": """SELECT event_id, e.key AS "column", e.key AS field, CAST(json_extract_string(props, '$.' || e.key) AS VARCHAR) AS value FROM events, json_each(props) e""",
     "card_luhn_iin": _C + f"""SELECT cell_id, number, {_LUHN.format('number')} AS luhn,
-        CASE WHEN number[1] = '4' AND length(number) IN (13, 16, 19) THEN 'visa'
-          WHEN length(number) = 16 AND (number[1:2]::INT BETWEEN 51 AND 55 OR number[1:4]::INT BETWEEN 2221 AND 2720) THEN 'mastercard'
-          WHEN length(number) = 15 AND number[1:2]::INT IN (34, 37) THEN 'amex'
-          WHEN length(number) BETWEEN 16 AND 19 AND (number[1:4]::INT = 6011 OR number[1:2]::INT = 65 OR number[1:3]::INT BETWEEN 644 AND 649) THEN 'discover'
-          WHEN length(number) BETWEEN 16 AND 19 AND number[1:4]::INT BETWEEN 3528 AND 3589 THEN 'jcb'
-          WHEN length(number) IN (14, 16) AND (number[1:2]::INT IN (36, 38, 39) OR number[1:3]::INT BETWEEN 300 AND 305) THEN 'diners' END AS network
+        CASE WHEN number[1] = '4' THEN CASE WHEN length(number) IN (13, 16, 19) THEN 'visa' END
+          WHEN number[1:2]::INT IN (34, 37) THEN CASE WHEN length(number) = 15 THEN 'amex' END
+          WHEN number[1:2]::INT BETWEEN 51 AND 55 OR number[1:4]::INT BETWEEN 2221 AND 2720 THEN CASE WHEN length(number) = 16 THEN 'mastercard' END
+          WHEN number[1:4]::INT = 6011 OR number[1:2]::INT = 65 OR number[1:3]::INT BETWEEN 644 AND 649 THEN CASE WHEN length(number) IN (16, 19) THEN 'discover' END
+          WHEN number[1:2]::INT = 35 THEN CASE WHEN length(number) IN (16, 19) THEN 'jcb' END
+          WHEN number[1:2]::INT IN (81, 82, 60, 50) THEN CASE WHEN length(number) = 16 THEN 'rupay' END
+          WHEN number[1:2]::INT IN (36, 38, 39) OR number[1:3]::INT BETWEEN 300 AND 305 THEN CASE WHEN length(number) IN (14, 16, 19) THEN 'diners' END
+          WHEN number[1:2]::INT = 62 THEN CASE WHEN length(number) BETWEEN 16 AND 19 THEN 'unionpay' END END AS network
         FROM (SELECT cell_id, regexp_replace(cell_value, '[^0-9]', '', 'g') AS number FROM c) WHERE length(number) BETWEEN 13 AND 19""",
     "ipv4_public_private": _T + """, f AS (SELECT unnest(regexp_extract_all(text, '(?:^|[^0-9.])((?:[0-9]{1,3}[.]){3}[0-9]{1,3})', 1)) AS value FROM t),
         g AS (SELECT value, count(*) AS n, split_part(value, '.', 1)::INT AS a, split_part(value, '.', 2)::INT AS b FROM f GROUP BY value)
@@ -235,13 +243,21 @@ ORACLES = {
         k AS (SELECT value, ch, count(*) / length(value) AS p FROM (SELECT value, unnest(string_split(value, '')) AS ch FROM v) WHERE ch <> '' GROUP BY value, ch)
         SELECT value, round(-sum(p * log2(p)), 4) AS bits FROM k GROUP BY value""",
     "fingerprint_values": _C + "SELECT cell_id, sha256(cell_value)[1:16] AS value_hash FROM c",
-    "luhn_validator": f"SELECT value, coalesce(length(d) BETWEEN 13 AND 19 AND {_LUHN.format('d')}, false) AS ok FROM (SELECT value, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ("
-        + _values([(v,) for v in _NUMBERS], "value") + "))",
-    "iban_mod97": _values(list(zip(_IBANS, [True, True, False, False, True])), "value, ok"),
-    "aba_checksum": _values(list(zip(_ABAS, [True, True, False, False, True])), "value, ok"),
-    "verhoeff": _values(list(zip(_VERHOEFF, [True, True, False, True, False, True])), "value, ok"),
-    "filler_numbers": _values([("111-22-3333", True, False), ("000-00-0000", True, False), ("1234567890", True, False), ("1637281916", False, True),
-                               ("1637281916779", False, True), ("219-09-9999", False, False), ("9999999999", True, False)], "value, filler, epoch"),
+    "luhn_validator": _T + _NUMBERS + f"SELECT value, {_LUHN.format('value')} AND length(value) BETWEEN 13 AND 19 AS ok FROM n WHERE regexp_full_match(value, '[0-9]+')",
+    "iban_mod97": _T + _NUMBERS + f""", m AS (SELECT value FROM n UNION SELECT 'DE' || value[1:20] FROM n WHERE regexp_full_match(value, '[0-9]{{10,20}}')),
+        k AS (SELECT value, list_transform(string_split(value[5:] || value[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END) AS parts FROM m)
+        SELECT value, coalesce(regexp_full_match(value, '{_IBAN_FORM}'), false) AND
+          list_reduce(list_prepend(0::BIGINT, list_transform(parts, lambda p: p::BIGINT)), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1 AS ok FROM k""",
+    "aba_checksum": _T + _NUMBERS + """SELECT DISTINCT value[1:9] AS value, (3 * (value[1]::INT + value[4]::INT + value[7]::INT) + 7 * (value[2]::INT + value[5]::INT + value[8]::INT)
+        + value[3]::INT + value[6]::INT + value[9]::INT) % 10 = 0 AS ok FROM n WHERE regexp_full_match(value, '[0-9]{9,}')""",
+    "verhoeff": _T + _NUMBERS + f"""SELECT value, list_reduce(list_prepend(0, list_transform(range(0, length(value)), lambda i:
+          substr('{_VERHOEFF_PLACES}', ((i % 8) * 10 + substr(value, (length(value) - i)::BIGINT, 1)::INT + 1)::BIGINT, 1)::INT)),
+          lambda c, p: substr('{_VERHOEFF_PRODUCTS}', (c * 10 + p + 1)::BIGINT, 1)::INT) = 0 AS ok FROM n WHERE regexp_full_match(value, '[0-9]+')""",
+    "filler_numbers": _T + """, r AS (SELECT unnest(regexp_extract_all(text, '([0-9][0-9 .-]{4,20}[0-9])', 1)) AS value FROM t
+        UNION SELECT cell_value FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND regexp_full_match(cell_value, '[0-9][0-9 .-]*')),
+        d AS (SELECT DISTINCT value, regexp_replace(value, '[^0-9]', '', 'g') AS line, list_filter(regexp_split_to_array(value, '[^0-9]+'), lambda g: g <> '') AS groups FROM r)
+        SELECT value, length(line) >= 6 AND (len(list_filter(groups, lambda g: replace(g, g[1], '') <> '')) = 0 OR contains('01234567890123456789', line) OR contains('98765432109876543210', line)) AS filler,
+          regexp_full_match(value, '[0-9]{10}|[0-9]{13}') AND coalesce(TRY_CAST(value[1:10] AS BIGINT) BETWEEN 1300000000 AND 2200000000, false) AS epoch FROM d""",
     "text_line_locator": _T + """SELECT blob_id, (length(b) - length(replace(b, chr(10), '')) + 1)::INT AS line, (length(list_last(string_split(b, chr(10)))) + 1)::INT AS col
         FROM (SELECT blob_id, text[1:instr(text, '@') - 1] AS b FROM t WHERE contains(text, '@'))""",
     "healthcare_keywords": _T + f"SELECT blob_id, ({_WORD_COUNT})::INT AS n FROM t WHERE ({_WORD_COUNT}) > 0",

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -53,12 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through the shared folder named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a local folder is set.
+    Only where the session names none and runs on one machine (tests) a local folder is set; a cluster must name one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lodescan-checkpoint-"))
     return df.checkpoint(eager)
 
@@ -89,16 +92,20 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(2 * cores) if few else df
 
 
+def total_order(df: DataFrame, columns: list[str]) -> Column:
+    """A number that tells rows with different contents apart, whatever the types of their columns."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(f"`{c}`") for c in columns])
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row per key: the one with the greatest ``order`` values.
+    """One row per key: the one with the greatest ``order`` values, of tied ones always the same.
 
-    Repeated deliveries of a row thereby count once. Rows whose key is null form one
-    group of their own like any other key. Ties keep an arbitrary one of the tied rows.
+    Repeated deliveries of a row thereby count once. Rows whose key is null form one group of their own like any other
+    key. One exchange by the key and one sort; rows that cannot be a key's last are left out before the exchange.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("_row")
-    grouped = df.groupBy(*keys).agg(best)
-    return grouped.select(*keys, *[F.col("_row").getField(c).alias(c) for c in rest]).select(*df.columns)
+    by = Window.partitionBy(*keys).orderBy(*[o.desc_nulls_last() for o in order], total_order(df, [c for c in df.columns if c not in keys]).desc())
+    return df.withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
 
 
 def cpus() -> int:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodescan.engine.policies import REQUIRED, with_policy
+from lodescan.engine.policies import REQUIRED, Policy, with_policy
 from lodescan.engine.tiers import LIKELY, POSSIBLE, VERY_LIKELY, raised
-from lodescan.runtime import checkpointed, small
+from lodescan.runtime import checkpointed, counted, small
 
+Overrides = dict[str, Policy] | None
 PAIR = ["unit_id", "column", "detector"]
 CELL = ["unit_id", "cell_id"]
 #: share of its column a losing detector must validate to keep its very likely hits
@@ -34,9 +35,9 @@ def without_allowed(candidates: DataFrame, allowed: DataFrame, value: str, ref:
     return kept
 
 
-def without_negative_fields(candidates: DataFrame, fields: DataFrame) -> DataFrame:
+def without_negative_fields(candidates: DataFrame, fields: DataFrame, overrides: Overrides = None) -> DataFrame:
     """Drops hits of detectors whose policy rules out the field's name, unless the name hints at the detector."""
-    named = with_policy(candidates).join(small(fields.select(F.col("column").alias("_c"), "words", "hints")), F.col("column") == F.col("_c"), "left")
+    named = with_policy(candidates, overrides).join(small(fields.select(F.col("column").alias("_c"), "words", "hints")), F.col("column") == F.col("_c"), "left")
     veto = F.coalesce(F.expr("words rlike policy.negative_fields"), F.lit(False))
     hinted = F.coalesce(F.expr("array_contains(hints, detector)"), F.lit(False))
     return named.where(~veto | hinted).select(*candidates.columns)
@@ -85,9 +86,9 @@ def has_validation(evidence: Column) -> Column:
     return F.exists(evidence, lambda e: e.isin("checksum", "format"))
 
 
-def capped_by_context(candidates: DataFrame) -> DataFrame:
+def capped_by_context(candidates: DataFrame, overrides: Overrides = None) -> DataFrame:
     """Detectors that require context stay possible without context or validation."""
-    named = with_policy(candidates)
+    named = with_policy(candidates, overrides)
     cap = (F.col("policy.context") == REQUIRED) & (F.col("tier") > POSSIBLE) & ~has_context(F.col("evidence")) & ~has_validation(F.col("evidence"))
     return named.withColumn("_cap", cap).withColumn("evidence", F.when(F.col("_cap"), F.concat("evidence", F.array(F.lit("uncorroborated")))).otherwise(F.col("evidence"))).withColumn(
         "tier", F.when(F.col("_cap"), POSSIBLE).otherwise(F.col("tier"))
@@ -104,13 +105,13 @@ def hinted_by_unit(candidates: DataFrame, hints: DataFrame) -> DataFrame:
     ).withColumn("tier", F.when(F.col("_hit"), LIKELY).otherwise(F.col("tier"))).select(*candidates.columns)
 
 
-def corroborated_by_record(candidates: DataFrame) -> DataFrame:
+def corroborated_by_record(candidates: DataFrame, overrides: Overrides = None) -> DataFrame:
     """Possible hits become likely where their record (and scope) holds two other kinds of identity.
 
     Adds ``independent``: whether the hit was at least likely before. The identities of a record are found by an
     aggregation and joined back, so that a record is never gathered in one place.
     """
-    named = with_policy(candidates).withColumn("independent", F.col("tier") >= LIKELY)
+    named = with_policy(candidates, overrides).withColumn("independent", F.col("tier") >= LIKELY)
     group = ["unit_id", "record_ix", "scope"]
     mine = named.where(F.col("policy.identity") & F.col("independent")).select(*group, "detector").distinct()
     known = mine.groupBy(*group).agg(F.collect_set("detector").alias("_identity"))
@@ -148,9 +149,9 @@ def majority(t2: str = "t2", t1: str = "t1", matches: str = "matches") -> Column
     return F.when(F.col(t2) * 2 >= F.col(matches), VERY_LIKELY).when((F.col(t2) + F.col(t1)) * 2 >= F.col(matches), LIKELY).otherwise(POSSIBLE)
 
 
-def column_verdicts(profiles: DataFrame, sampled: DataFrame, ratio: float | None = None, least: int | None = None) -> DataFrame:
+def column_verdicts(profiles: DataFrame, sampled: DataFrame, ratio: float | None = None, least: int | None = None, overrides: Overrides = None) -> DataFrame:
     """Profiles with sampled, ratio, classified and verdict_tier (null where the column is not classified)."""
-    joined = with_policy(profiles.join(sampled, ["unit_id", "column"], "left").fillna(0, ["sampled"]))
+    joined = with_policy(profiles.join(sampled, ["unit_id", "column"], "left").fillna(0, ["sampled"]), overrides)
     need = F.lit(least) if least is not None else F.col("policy.column_min_matches")
     floor = F.lit(ratio) if ratio is not None else F.col("policy.column_ratio")
     share = F.try_divide(F.when(F.col("policy.column_requires_validation"), F.col("validated")).otherwise(F.col("matches")), "sampled")
@@ -176,7 +177,8 @@ def without_losers(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     owners = column_owners(verdicts)
     own = verdicts.select(*PAIR, (F.coalesce(F.try_divide("validated", "sampled"), F.lit(0.0)) >= STRAGGLER_RATIO).alias("_proof"))
-    rows = candidates.join(owners, ["unit_id", "column"], "left").join(own, PAIR, "left")
+    few = counted(verdicts)
+    rows = candidates.join(few(owners), ["unit_id", "column"], "left").join(few(own), PAIR, "left")
     loser = F.col("owner").isNotNull() & (F.col("owner") != F.col("detector"))
     fine = rows.where(~loser)
     losers = rows.where(loser)
@@ -195,9 +197,9 @@ def without_losers(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     return fine.select(*candidates.columns).unionByName(kept)
 
 
-def promoted_by_count(candidates: DataFrame, group: list[str], least: int | None = None) -> DataFrame:
+def promoted_by_count(candidates: DataFrame, group: list[str], least: int | None = None, overrides: Overrides = None) -> DataFrame:
     """Possible hits become likely where their group holds enough different ones."""
-    named = with_policy(candidates)
+    named = with_policy(candidates, overrides)
     open_ = (F.col("tier") == POSSIBLE) & (F.col("policy.context") != "none") & F.col("policy.count_promotion")
     counts = named.where(open_).groupBy(*group).agg(F.count_distinct("value").alias("_n"))
     counts = counts.select(*[F.col(c).alias(f"_{c}") for c in group], "_n")
@@ -212,20 +214,20 @@ def promoted_by_count(candidates: DataFrame, group: list[str], least: int | None
     ).withColumn("tier", F.when(F.col("_up"), LIKELY).otherwise(F.col("tier"))).select(*candidates.columns)
 
 
-def sibling_columns(pairs: DataFrame, fields: DataFrame) -> DataFrame:
+def sibling_columns(pairs: DataFrame, fields: DataFrame, overrides: Overrides = None) -> DataFrame:
     """For each (unit, column, detector) the columns of the same parent whose names corroborate the detector.
 
     ``pairs``: unit_id, column, detector, category; ``fields``: unit_id, column, words. A self-join of the columns,
     not of the cells, on the unit and the parent's path.
     """
     parent = F.regexp_extract("column", r"^(.*)\.[^.]*$", 1)
-    mine = with_policy(pairs.select(*PAIR, "category").distinct()).where("policy.siblings is not null").withColumn("_parent", parent)
+    mine = with_policy(pairs.select(*PAIR, "category").distinct(), overrides).where("policy.siblings is not null").withColumn("_parent", parent)
     others = fields.select(F.col("unit_id").alias("_u"), F.col("column").alias("_other"), parent.alias("_p"), "words")
     hit = mine.join(others, (F.col("unit_id") == F.col("_u")) & (F.col("_parent") == F.col("_p")) & (F.col("column") != F.col("_other")) & F.expr("words rlike policy.siblings"))
     return hit.groupBy(*PAIR).agg(F.array_sort(F.collect_set("_other")).alias("siblings"))
 
 
-def promoted_by_columns(candidates: DataFrame, verdicts: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
+def promoted_by_columns(candidates: DataFrame, verdicts: DataFrame, siblings: DataFrame | None = None, overrides: Overrides = None) -> DataFrame:
     """Hits rise to the tier of their column's verdict, one more where siblings corroborate it; others may rise by count."""
     v = verdicts.select(*PAIR, "ratio", "verdict_tier")
     if siblings is not None:
@@ -233,13 +235,13 @@ def promoted_by_columns(candidates: DataFrame, verdicts: DataFrame, siblings: Da
         v = v.withColumn("verdict_tier", F.when(F.size(F.coalesce("siblings", F.array().cast("array<string>"))) > 0, raised(F.col("verdict_tier"))).otherwise(F.col("verdict_tier")))
     else:
         v = v.withColumn("siblings", F.lit(None).cast("array<string>"))
-    joined = candidates.join(v, PAIR, "left")
+    joined = candidates.join(counted(verdicts)(v), PAIR, "left")
     tags = F.filter(F.array(
         F.format_string("column:%.2f", F.col("ratio")),
         F.when(F.size(F.coalesce("siblings", F.array().cast("array<string>"))) > 0, F.concat(F.lit("siblings:"), F.concat_ws(",", F.slice("siblings", 1, 3)))),
     ), lambda x: x.isNotNull())
     yes = joined.where(F.col("verdict_tier").isNotNull()).withColumn("tier", F.greatest("tier", "verdict_tier")).withColumn("evidence", F.concat("evidence", tags))
-    no = promoted_by_count(joined.where(F.col("verdict_tier").isNull()).select(*candidates.columns), PAIR)
+    no = promoted_by_count(joined.where(F.col("verdict_tier").isNull()).select(*candidates.columns), PAIR, overrides=overrides)
     return yes.select(*candidates.columns).unionByName(no)
 
 
@@ -282,19 +284,18 @@ def aggregated(findings: DataFrame, verdicts: DataFrame, threshold: int = AGGREG
 
 
 def clubbed(findings: DataFrame) -> DataFrame:
-    """Per unit, detector and category: greatest tier, occurrences, and each value with its different locations in order."""
+    """Per unit, detector and category: greatest tier, occurrences and number of different values; the values are rows of ``club_values``."""
     count = F.coalesce("occurrences", F.lit(1)) if "occurrences" in findings.columns else F.lit(1)
-    places = findings.groupBy("unit_id", "detector", "category", "value", "location").agg(
-        F.min("seq").alias("seq"), F.max("tier").alias("tier"), F.sum(count).alias("n")
-    )
-    values = places.groupBy("unit_id", "detector", "category", "value").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "location"))), lambda x: x["location"]).alias("locations"),
-        F.max("tier").alias("tier"), F.sum("n").alias("n"), F.min("seq").alias("seq"),
-    )
-    return values.groupBy("unit_id", "detector", "category").agg(
-        F.max("tier").alias("tier"), F.sum("n").alias("total_count"),
-        F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value", "locations"))), lambda x: F.struct(x["value"], x["locations"]))).alias("finding_values"),
-    )
+    by_value = findings.groupBy("unit_id", "detector", "category", "value").agg(F.max("tier").alias("tier"), F.sum(count).alias("n"))
+    return by_value.groupBy("unit_id", "detector", "category").agg(F.max("tier").alias("tier"), F.sum("n").alias("total_count"), F.count("*").alias("n_values"))
+
+
+def club_values(findings: DataFrame) -> DataFrame:
+    """The values of the clubs with their different places, one row per place: a value seen in a billion places is no single row's burden.
+
+    ``first_seq`` orders the places of a value as they were found.
+    """
+    return findings.groupBy("unit_id", "detector", "category", "value", "location").agg(F.min("seq").alias("first_seq"), F.max("tier").alias("tier"))
 
 
 def with_clean_units(units: DataFrame, clubs: DataFrame) -> DataFrame:
@@ -312,19 +313,25 @@ def sheet_of(unit_id: Column) -> tuple[Column, Column]:
 
 
 def classify(
-    candidates: DataFrame, sampled: DataFrame, fields: DataFrame, *, unit_hints: DataFrame | None = None,
-    least_tier: int = LIKELY, threshold: int = AGGREGATION_THRESHOLD,
+    candidates: DataFrame, sampled: DataFrame, fields: DataFrame, *, unit_hints: DataFrame | None = None, least_tier: int = LIKELY,
+    threshold: int = AGGREGATION_THRESHOLD, allowed: DataFrame | None = None, allow_patterns: list[str] | None = None, overrides: Overrides = None,
+    ratio: float | None = None, least_matches: int | None = None,
 ) -> DataFrame:
-    """The whole chain, in the order that the promotions must keep."""
-    rows = without_negative_fields(candidates, fields.drop("unit_id").dropDuplicates(["column"]))
-    rows = capped_by_context(rows)
+    """The whole chain, in the order that the promotions must keep.
+
+    ``unit_hints``: unit_id, unit_name, detector (see ``engine.units.unit_hints``); ``allowed``: a column ``value`` of values that are no findings,
+    as are those that match one of ``allow_patterns``; ``overrides``: policies by detector; ``ratio``, ``least_matches``: instead of the policies'.
+    """
+    rows = without_negative_fields(candidates, fields.drop("unit_id").dropDuplicates(["column"]), overrides)
+    if allowed is not None or allow_patterns:
+        listed = allowed if allowed is not None else candidates.select("value").limit(0)
+        rows = without_allowed(rows, listed, "value", "value", allow_patterns)
     if unit_hints is not None:
         rows = hinted_by_unit(rows, unit_hints)
+    rows = capped_by_context(rows, overrides)
     # read by five operators below, each of them a shuffle: written once instead of computed five times
-    rows = checkpointed(corroborated_by_record(rows))
-    verdicts = checkpointed(column_verdicts(column_profiles(rows), sampled))
+    rows = checkpointed(corroborated_by_record(rows, overrides))
+    verdicts = checkpointed(column_verdicts(column_profiles(rows), sampled, ratio, least_matches, overrides))
     kept = checkpointed(without_losers(rows, verdicts))
-    kept = promoted_by_columns(kept, verdicts, sibling_columns(rows, fields))
+    kept = promoted_by_columns(kept, verdicts, sibling_columns(rows, fields, overrides), overrides)
     return distinct_findings(aggregated(checkpointed(at_least(kept, least_tier)), verdicts, threshold))
-
-

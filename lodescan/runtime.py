@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,12 @@ def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def counted(df: DataFrame, most_rows: int = 200_000) -> Callable[[DataFrame], DataFrame]:
+    """Marks sides with at most as many rows as ``df`` for broadcasting if ``df``, best a written one, has no more than ``most_rows``."""
+    few = df.limit(most_rows + 1).count() <= most_rows
+    return lambda side: F.broadcast(side) if few else side
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Rows over all cores before costly work on each row, if the input is too small to be read by all of them.
 

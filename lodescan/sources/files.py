@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodescan.operators.cells import columnar_cells
 from lodescan.runtime import ship
 
 MOST_BYTES = 100 << 20
@@ -56,10 +57,21 @@ def _columnar(unit: str, header: list[str], rows: Iterator[list]) -> Iterator[Ro
 
 
 def delimited(unit: str, data: bytes, separator: str) -> Iterator[Row]:
-    """Header and rows, all text; rows of more fields than the header has are left out."""
+    """Header and rows, all text; a row of more fields than the header has is an error row."""
     reader = csv.reader(io.StringIO(data.decode("utf-8", "replace")), delimiter=separator)
     header = next(reader, [])
-    yield from _columnar(unit, header, (r for r in reader if r and len(r) <= len(header)))
+    odd: list[int] = []
+
+    def fitting() -> Iterator[list]:
+        for row in reader:
+            if row and len(row) <= len(header):
+                yield row
+            elif row:
+                odd.append(reader.line_num)
+
+    yield from _columnar(unit, header, fitting())
+    for line in odd:
+        yield _error(unit, ValueError(f"line {line} left out: more fields than the header has"))
 
 
 def leaves(value: object, path: str = "", name: str = "") -> Iterator[tuple[str, str, str]]:
@@ -114,7 +126,9 @@ def json_lines(unit: str, data: bytes) -> Iterator[Row]:
 
 def xml_file(unit: str, data: bytes) -> Iterator[Row]:
     """Each element's own text is a record of one cell; entities beyond the predefined ones are refused."""
-    if b"<!ENTITY" in data[:4096].upper():
+    plain = data.decode("utf-16", "replace").encode() if data[:2] in (b"\xff\xfe", b"\xfe\xff") else data
+    prolog = re.match(rb"(?s).*?<[A-Za-z_:]", plain)
+    if b"<!ENTITY" in (prolog.group() if prolog else plain).upper():
         raise ValueError("entity declarations are not read")
     for n, (_, e) in enumerate(ElementTree.iterparse(io.BytesIO(data))):
         text, tag = (e.text or "").strip(), e.tag.rsplit("}", 1)[-1]
@@ -324,14 +338,15 @@ def parse(unit: str, name: str, data: bytes, depth: int = 0) -> Iterator[Row]:
 def read_files(spark: SparkSession, path: str, *, since: str | None = None, most_bytes: int = MOST_BYTES, glob: str | None = None) -> DataFrame:
     """Cells, blobs and errors of all files under a path (rows of ``SCHEMA``).
 
-    Empty files and files over ``most_bytes`` are skipped, and with ``since`` those not changed after it; these
-    filters run on the listing, before any content is read.
+    Empty files give nothing; with ``since`` files not changed after it are left out, on the listing, before any content is read.
+    Files over ``most_bytes`` are not taken into a task's memory: tables and lines are read by the engine's own readers, in
+    splits (``large_files``), and of other kinds each gives an error row.
     """
     ship(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).where((F.col("length") > 0) & (F.col("length") <= most_bytes))
+    files = reader.load(path).where(F.col("length") > 0)
     if since:
         files = files.where(F.col("modificationTime") > F.lit(since).cast("timestamp"))
 
@@ -348,4 +363,51 @@ def read_files(spark: SparkSession, path: str, *, since: str | None = None, most
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    small = files.where(F.col("length") <= most_bytes).select("path", "content").mapInPandas(run, SCHEMA)
+    # paths only, of files each of which is larger than the bound
+    large = [r.path for r in files.where(F.col("length") > most_bytes).select("path").collect()]
+    return small.unionByName(large_files(spark, large)) if large else small
+
+
+LINE_ENDINGS, TEXT_ENDINGS = (".jsonl", ".ndjson"), (".txt", ".log", ".md", ".sql", ".yaml", ".yml", ".ini", ".conf", "")
+
+
+def large_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Cells, lines and errors of large files, read in splits: delimited and Parquet files by column, JSON lines by line, text by line."""
+    kinds: dict[str, list[str]] = {}
+    for p in paths:
+        kinds.setdefault(PurePosixPath(p).suffix.lower(), []).append(p)
+    parts = []
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def tables(df: DataFrame, unit: str) -> DataFrame:
+        cells = columnar_cells(df, unit, strings_only=True).where(~F.col("value").isin(*sorted(MISSING)))
+        return cells.select("unit_id", F.lit("cell").alias("kind"), "shape", "record_ix", "cell_ix", "column", "field", "value", "location", F.lit(0).alias("line_offset"), F.lit(None).cast("string").alias("error"))
+
+    for ending, some in kinds.items():
+        if ending == ".parquet":
+            parts += [tables(spark.read.parquet(p), p) for p in some]
+        elif ending in (".csv", ".tsv"):
+            parts += [tables(spark.read.option("header", True).option("sep", "," if ending == ".csv" else "\t").csv(p), p) for p in some]
+        elif ending in LINE_ENDINGS or ending in TEXT_ENDINGS:
+            lines = spark.read.text(some).select(F.col("_metadata.file_path").alias("unit_id"), F.monotonically_increasing_id().alias("record_ix"), "value").where("trim(value) <> ''")
+
+            def run(batches: Iterator[pd.DataFrame], json_lines_: bool = ending in LINE_ENDINGS) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    rows: list[Row] = []
+                    for unit, at, line in pdf.itertuples(index=False):
+                        try:
+                            found = list(_document(unit, at, json.loads(line), "Line: ")) if json_lines_ else [_blob(unit, at, line, "Line")]
+                        except ValueError:
+                            found = [_blob(unit, at, line, "Line")]
+                        rows += found
+                    yield pd.DataFrame(rows, columns=names)
+
+            parts.append(lines.mapInPandas(run, SCHEMA))
+        else:
+            rows = [_error(p, ValueError("left out: too large for a kind of file that is read whole")) for p in some]
+            parts.append(spark.createDataFrame(rows, SCHEMA))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

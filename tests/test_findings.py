@@ -3,6 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from lodescan.engine.fields import field_table
+from lodescan.engine.policies import REQUIRED, Policy
+from lodescan.engine.units import unit_hints
 from lodescan.operators import findings as ops
 from lodescan.plans.values import place_in_unit
 
@@ -93,7 +95,7 @@ def test_aggregation_clubbing_and_dedup(spark):
     big = next(r for r in out if r.aggregated)
     assert len(out) == 2 and big.occurrences == 30 and big.tier == 2 and big.evidence == ["a", "b"] and big.value == "v0" and big.column_ratio == 0.5
     club = ops.clubbed(one).where("detector = 'US SSN'").first()
-    assert club.total_count == 31 and club.finding_values["v99"] == ["row:99:other"]
+    assert club.total_count == 31 and ops.club_values(one).where("value = 'v99'").first().location == "row:99:other"
 
 
 def test_order_of_rows_does_not_matter(spark):
@@ -118,6 +120,21 @@ def test_clean_units_stay(spark):
     assert got == {"u": 1, "clean": 0}
 
 
+def test_allowed_values_overrides_and_unit_names(spark):
+    fields = spark.createDataFrame([("u", "c", "c", [])], "unit_id string, column string, words string, hints array<string>")
+    rows = frame(spark, [row(i, "c", "Email", "PII", f"v{i}", 1) for i in range(4)])
+    run = lambda **more: {r.value for r in ops.classify(rows, sampled(spark, c=100), fields, threshold=0, **more).collect()}
+    assert run() == {"v0", "v1", "v2", "v3"}
+    allowed = spark.createDataFrame([("v1",), (None,)], "value string")
+    assert run(allowed=allowed) == {"v0", "v2", "v3"} and run(allow_patterns=["[12]$"]) == {"v0", "v3"} and run(allowed=allowed, allow_patterns=["2"]) == {"v0", "v3"}
+    capped = {"Email": Policy(REQUIRED, count_promotion=False)}
+    assert run(overrides=capped) == set()
+    hints = unit_hints(spark.createDataFrame([("u", "customer_emails"), ("w", "passports"), ("x", None)], "unit_id string, unit_name string"))
+    assert ("u", "customer_emails", "Email") in {tuple(r) for r in hints.collect()} and {r.detector for r in hints.where("unit_id = 'w'").collect()} >= {"US_PASSPORT"}
+    low = frame(spark, [row(i, "c", "Email", "PII", f"v{i}", 0) for i in range(2)])
+    assert ops.classify(low, sampled(spark, c=100), fields, threshold=0, unit_hints=hints).count() == 2 and ops.classify(low, sampled(spark, c=100), fields, threshold=0).count() == 0
+
+
 def test_empty_candidates(spark):
     fields = spark.createDataFrame([], "unit_id string, column string, words string, hints array<string>")
     assert ops.classify(frame(spark, []), sampled(spark, x=1), fields).count() == 0

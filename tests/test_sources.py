@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lodescan.evaluate import scores, span_scores
 from lodescan.operators.cells import columnar_cells
-from lodescan.operators.findings import clubbed, sheet_of
+from lodescan.operators.findings import club_values, clubbed, sheet_of
 from lodescan.sources import files
 from lodescan.sources.files import parse, read_files
-from lodescan.sources.sinks import report_rows, write_report
+from lodescan.sources.sinks import report_rows, summary_row, write_report
 from lodescan.sources.tables import changed_since, limited, plain_item, reader_endpoint, sample_percent, text_fields, user_relations
 from lodescan.streaming.adaptive import scan_until_settled, settled
-from lodescan.streaming.cdc import CHANGE, change_stream, changed_cells, run_stream
+from lodescan.streaming.cdc import CHANGE, change_stream, changed_cells, new_objects, run_stream
 
 
 def cells(name, data):
@@ -142,6 +142,38 @@ def test_adaptive_stop(spark):
     assert seen == 2000 and hits.count() == 2000
 
 
+def test_adaptive_stop_of_few_records(spark):
+    one = spark.createDataFrame([(0, "c", "x")], "record_ix long, column string, value string")
+    scan = lambda part: part.withColumn("detector", F.lit("Email")).withColumn("category", F.lit("PII"))
+    hits, seen = scan_until_settled(one, scan)
+    assert (seen, hits.count()) == (1, 1) and scan_until_settled(one.limit(0), scan)[1] == 0
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("email,n\nx@y.z,\n,2\n")
+    (tmp_path / "b.jsonl").write_text('{"a": "v"}\nno json\n')
+    (tmp_path / "c.log").write_text("one\n\ntwo\n")
+    (tmp_path / "d.xml").write_text("<a>xxxxxxxxxx</a>")
+    whole = read_files(spark, str(tmp_path)).where("kind = 'cell'").select("column", "value").collect()
+    rows = read_files(spark, str(tmp_path), most_bytes=5).collect()
+    assert {(r.column, r.value) for r in rows if r.kind == "cell"} == {tuple(r) for r in whole if r.column != "a" or r.value == "v"}
+    assert sorted(r.value for r in rows if r.kind == "blob") == ["no json", "one", "two"]
+    assert [r.unit_id.rsplit("/", 1)[1] for r in rows if r.kind == "error"] == ["d.xml"]
+
+
+def test_rows_and_entities_left_out_are_errors():
+    assert [r[1] for r in parse("u", "a.csv", b"a,b\n1,2\n1,2,3\n")] == ["cell", "cell", "error"]
+    late = b"<!DOCTYPE r [" + b"<!ELEMENT r ANY>" * 400 + b"<!ENTITY e 'x'>]><r>&e;</r>"
+    assert [r[1] for r in parse("u", "a.xml", late)] == ["error"]
+
+
+def test_notifications(spark):
+    event = {"eventName": "s3:ObjectCreated:Put", "s3": {"bucket": {"name": "b"}, "object": {"key": "a+b%2Fc.csv", "size": 3}}}
+    bodies = [json.dumps({"Records": [event, {**event, "eventName": "s3:ObjectRemoved:Delete"}]}), json.dumps({"Message": json.dumps({"Records": [event]})}), "no json", None]
+    got = new_objects(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
+    assert [(r.bucket, r.key, r.size) for r in got] == [("b", "a b/c.csv", 3)] * 2
+
+
 def test_scores(spark):
     e = spark.createDataFrame([("A", 1), ("A", 1), ("B", 2)], "d string, v int")
     g = spark.createDataFrame([("A", 1), ("C", 3)], "d string, v int")
@@ -156,6 +188,10 @@ def test_report(spark, tmp_path):
     schema = "unit_id string, detector string, category string, value string, location string, seq long, tier int"
     f = spark.createDataFrame([("b.xlsx [P]", "Email", "PII", "x@y.z", "l1", 1, 1), ("b.xlsx [P]", "Email", "PII", "x@y.z", "l2", 2, 2)], schema)
     units = spark.createDataFrame([("b.xlsx [P]",), ("clean",)], "unit_id string")
+    long = f.withColumn("value", F.when(F.col("seq") == 1, F.lit("a" * 300 + "1")).otherwise("a" * 300 + "2"))
+    write_report(report_rows(units, clubbed(long)), str(tmp_path / "l"), club_values(long))
+    assert {len(r.value) for r in spark.read.json(str(tmp_path / "l" / "values")).collect()} == {301}
+    assert summary_row(report_rows(units, clubbed(f))).first().asDict() == {"files_scanned": 2, "with_findings": 1, "failed": 0, "total_count": 2}
     write_report(report_rows(units, clubbed(f)), str(tmp_path / "r"))
     rows = {r.unit_id: r for r in spark.read.json(str(tmp_path / "r")).collect()}
     assert rows["clean"].findings == [] and rows["b.xlsx [P]"].sheet == "P" and rows["b.xlsx [P]"].findings[0].total_count == 2

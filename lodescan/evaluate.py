@@ -36,3 +36,14 @@ def span_scores(gold: DataFrame, hits: DataFrame, record: str, by: list[str], le
     pairs = g.join(h, (F.col(record) == F.col("_r")) & (cover > 0) & (cover / F.greatest(F.lit(1), F.col("end_ix") - F.col("start_ix")) >= least_overlap), "left")
     first = pairs.groupBy("_id", *by).agg(F.max(F.col("_r").isNotNull().cast("int")).alias("found"), F.max("tier").alias("best_tier"))
     return first.groupBy(*by).agg(F.count("*").alias("gold"), F.sum("found").alias("found"), (F.sum("found") / F.count("*")).alias("recall"))
+
+
+def counters(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """records, cells, empty_cells, texts and characters read per unit, for the report of a scan."""
+    by = cells.groupBy("unit_id").agg(
+        F.count_distinct("record_ix").alias("records"), F.count("*").alias("cells"), F.count_if(F.coalesce("cell_value", F.lit("")) == "").alias("empty_cells"),
+    ).select("*", F.lit(0).cast("long").alias("texts"), F.lit(0).cast("long").alias("characters"))
+    of_texts = texts.groupBy("unit_id").agg(F.count_if(F.col("text") != "").alias("texts"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("characters")).select(
+        "unit_id", *[F.lit(0).cast("long").alias(c) for c in ("records", "cells", "empty_cells")], "texts", "characters"
+    )
+    return by.unionByName(of_texts).groupBy("unit_id").agg(*[F.sum(c).alias(c) for c in ("records", "cells", "empty_cells", "texts", "characters")])

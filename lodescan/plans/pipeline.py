@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodescan.engine.fields import field_table
+from lodescan.engine.fields import HINTS, field_table
 from lodescan.engine.policies import policy_for, with_policy
 from lodescan.engine.scan import PRIORITY
 from lodescan.engine.tiers import name_rank, rank_name, score_rank
+from lodescan.engine.units import unit_hints
+from lodescan.evaluate import counters
 from lodescan.operators import findings as ops
 from lodescan.operators.cells import collapsed, leaf, scope
+from lodescan.plans.chain_sql import CHAIN
+from lodescan.plans.names import described, words_of
 from lodescan.runtime import checkpointed, latest, table
+from lodescan.sources.tables import changed_since, limited
 
 
 def base_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +59,10 @@ def _policy_values() -> str:
         p = policy_for(d, c)
         rows.append(
             f"('{d}', '{p.context}', {p.column_ratio}, {p.column_min_matches}, {p.column_classify}, {p.column_requires_validation}, {p.min_count}, "
-            f"{p.count_promotion}, {p.identity}, {p.identity_corroboration}, " + (f"'{p.siblings}'" if p.siblings else "NULL") + ")"
+            f"{p.count_promotion}, {p.identity}, {p.identity_corroboration}, " + (f"'{p.siblings}'" if p.siblings else "NULL") + ", " + (f"'{p.negative_fields}'" if p.negative_fields else "NULL") + ")"
         )
     return (", policy(detector, context, column_ratio, column_min_matches, column_classify, needs_validation, min_count, count_promotion, identity, "
-            "corroborated, siblings) AS (VALUES " + ", ".join(rows) + ")")
+            "corroborated, siblings, negative_fields) AS (VALUES " + ", ".join(rows) + ")")
 
 
 _POLICY = _policy_values()
@@ -150,7 +155,25 @@ def dedup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def club_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     clubs = ops.clubbed(base_candidates(spark, sf_dir))
-    return clubs.select("unit_id", "detector", "category", rank_name(F.col("tier")).alias("tier"), "total_count", F.size("finding_values").alias("n_values"))
+    return clubs.select("unit_id", "detector", "category", rank_name(F.col("tier")).alias("tier"), "total_count", F.col("n_values").cast("int").alias("n_values"))
+
+
+def club_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every club with each of its places."""
+    return ops.club_values(base_candidates(spark, sf_dir)).select("unit_id", "detector", "category", "value", "location", "first_seq")
+
+
+def unit_name_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors of the field patterns that the names of the scanned units hint at."""
+    hints = unit_hints(table(spark, sf_dir, "scan_units"))
+    return hints.where(F.col("detector").isin(*HINTS)).select("unit_id", "unit_name", "detector")
+
+
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan has read: records, cells and texts per unit, each delivery counted once."""
+    cells = latest(table(spark, sf_dir, "cells"), ["cell_id"], F.col("loaded_at"))
+    blobs = latest(table(spark, sf_dir, "text_blobs"), ["blob_id"], F.col("loaded_at"))
+    return counters(cells, blobs)
 
 
 def clean_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,11 +260,11 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.where(F.col("ts") > F.lit("2024-01-10 00:00:00").cast("timestamp")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return changed_since(e, "ts", "2024-01-10 00:00:00").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").orderBy("event_id").limit(1000).select("event_id", "event_type")
+    return limited(table(spark, sf_dir, "events"), 1000, "event_id").select("event_id", "event_type")
 
 
 def findings_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +277,7 @@ def findings_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     column_profile, column_verdict, dominant_detector, dominance_antijoin, record_identity_promotion, context_cap, count_promotion, sibling_columns,
-    aggregate_threshold, dedup_findings, club_findings, clean_units, unit_findings, allow_list_antijoin, negative_fields, policy_lookup, overlap_resolution, min_confidence, score_floor,
+    aggregate_threshold, dedup_findings, club_findings, club_locations, unit_name_hints, scan_counters, clean_units, unit_findings, allow_list_antijoin, negative_fields, policy_lookup, overlap_resolution, min_confidence, score_floor,
     cell_paths, values_seen, sheet_regroup, eval_precision_recall, incremental_filter, head_sample, findings_pipeline,
 )}
 _TIER = "CASE {0} WHEN 0 THEN 'possible' WHEN 1 THEN 'likely' WHEN 2 THEN 'very_likely' END"
@@ -338,6 +361,18 @@ s AS (SELECT coalesce(e.detector, g.detector) AS detector, sum(least(coalesce(e.
       FROM e FULL JOIN g ON e.detector = g.detector AND e.item = g.item GROUP BY 1)
 SELECT detector, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall,
   round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM s""",
+    "club_locations": _BASE + "SELECT unit_id, detector, category, value, location, min(seq) AS first_seq FROM base GROUP BY ALL",
+    "unit_name_hints": words_of("SELECT unit_name AS name FROM scan_units") + """, plain AS (SELECT name, words,
+          array_to_string(list_transform(string_split(words, ' '), lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN w[:-4] || 'y'
+            WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END), ' ') AS single FROM words)
+        SELECT DISTINCT unit_id, unit_name, detector FROM scan_units JOIN plain ON unit_name = name, (VALUES """ + ", ".join(f"('{d}', '{p.pattern}')" for d, p in HINTS.items()) + """) h(detector, pattern)
+        WHERE words <> '' AND (regexp_matches(words, pattern) OR regexp_matches(single, pattern))""",
+    "scan_counters": """WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY loaded_at DESC) AS rn FROM text_blobs) WHERE rn = 1),
+        u AS (SELECT unit_id, count(DISTINCT record_ix) AS records, count(*) AS cells, count_if(coalesce(cell_value, '') = '') AS empty_cells, 0 AS texts, 0 AS characters FROM c GROUP BY unit_id
+          UNION ALL SELECT unit_id, 0, 0, 0, count_if(text <> ''), sum(length(coalesce(text, ''))) FROM b GROUP BY unit_id)
+        SELECT unit_id, sum(records)::BIGINT AS records, sum(cells)::BIGINT AS cells, sum(empty_cells)::BIGINT AS empty_cells, sum(texts)::BIGINT AS texts, sum(characters)::BIGINT AS characters FROM u GROUP BY unit_id""",
+    "findings_pipeline": words_of("SELECT DISTINCT col AS name FROM base", _BASE) + _POLICY + described(HINTS) + CHAIN,
     "incremental_filter": "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' GROUP BY event_type",
     "head_sample": "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 1000",
 }

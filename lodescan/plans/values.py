@@ -9,12 +9,13 @@ from lodescan.engine.credentials import credentials
 from lodescan.engine.money import HEALTH_WORDS
 from lodescan.engine.personal import DEMO_DOMAINS, DEMO_ENDINGS
 from lodescan.engine.reading import Reading
-from lodescan.engine.fields import field_table
+from lodescan.engine.fields import HINTS, field_table
 from lodescan.engine.scan import ScanConfig, find_candidates, without_overlaps
 from lodescan.engine.tiers import rank_name
 from lodescan.functions import native as N
 from lodescan.operators.cells import columnar_cells, document_cells, values_seen
 from lodescan.operators.findings import classify
+from lodescan.plans.names import described, words_of
 from lodescan.runtime import latest, ship, spread, table
 
 WORKER_REGIONS = ("US", "IN", "GB")
@@ -258,6 +259,9 @@ ORACLES = {
         d AS (SELECT DISTINCT value, regexp_replace(value, '[^0-9]', '', 'g') AS line, list_filter(regexp_split_to_array(value, '[^0-9]+'), lambda g: g <> '') AS groups FROM r)
         SELECT value, length(line) >= 6 AND (len(list_filter(groups, lambda g: replace(g, g[1], '') <> '')) = 0 OR contains('01234567890123456789', line) OR contains('98765432109876543210', line)) AS filler,
           regexp_full_match(value, '[0-9]{10}|[0-9]{13}') AND coalesce(TRY_CAST(value[1:10] AS BIGINT) BETWEEN 1300000000 AND 2200000000, false) AS epoch FROM d""",
+    "field_words": words_of("SELECT DISTINCT cell_key AS name FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND cell_value <> '' AND cell_key IS NOT NULL")
+        + described(HINTS) + f""", ranks(detector, r) AS (VALUES {', '.join(f"('{d}', {i})" for i, d in enumerate(HINTS))}), h AS (SELECT name, string_agg(detector, ',' ORDER BY r) AS hints FROM hinted JOIN ranks USING (detector) GROUP BY name)
+        SELECT name AS "column", words, kind, counter, coalesce(hints, '') AS hints FROM words JOIN kinds USING (name) LEFT JOIN h USING (name)""",
     "text_line_locator": _T + """SELECT blob_id, (length(b) - length(replace(b, chr(10), '')) + 1)::INT AS line, (length(list_last(string_split(b, chr(10)))) + 1)::INT AS col
         FROM (SELECT blob_id, text[1:instr(text, '@') - 1] AS b FROM t WHERE contains(text, '@'))""",
     "healthcare_keywords": _T + f"SELECT blob_id, ({_WORD_COUNT})::INT AS n FROM t WHERE ({_WORD_COUNT}) > 0",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodescan.engine.credentials import credentials
-from lodescan.engine.money import HEALTH_WORDS
-from lodescan.engine.personal import DEMO_DOMAINS, DEMO_ENDINGS
+from lodescan.engine.money import COUNTRIES, HEALTH_WORDS, NO_BANK_CODE
+from lodescan.engine.personal import DEMO_DOMAINS, DEMO_ENDINGS, NOBODY, ORGANISATION_ENDS, ROLE_OPENINGS, ROLES, SINGLE
 from lodescan.engine.reading import Reading
 from lodescan.engine.fields import HINTS, field_table
 from lodescan.engine.scan import ScanConfig, find_candidates, without_overlaps
@@ -167,6 +167,43 @@ def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("blob_id", "detector", "value", "score", rank_name(F.col("tier")).alias("tier"), place.alias("line"))
 
 
+def _hits_in_cells(spark: SparkSession, sf_dir: str, *detectors: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).select("cell_id", F.col("cell_key").alias("field"), F.col("cell_value").alias("value"))
+    return find_candidates(cells, config=ScanConfig(regions=WORKER_REGIONS, only=frozenset(detectors)))
+
+
+def scan_name_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in the cells of name fields, by the scan restricted to them."""
+    return _hits_in_cells(spark, sf_dir, "PII.PersonName").where("field_hint").select("cell_id", "value", "score")
+
+
+def scan_social_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Social security numbers in the cells, with the scores that their form and their field give them."""
+    return _hits_in_cells(spark, sf_dir, "US SSN").select("cell_id", "value", "score")
+
+
+CHECKED = ("UK_NHS", "US_NPI", "GB_UTR")
+
+
+def scan_checked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of three kinds with check digits in the cells; where one number is of two kinds the one of higher standing counts."""
+    return _hits_in_cells(spark, sf_dir, *CHECKED).select("cell_id", "detector", "value", "score")
+
+
+def scan_bank_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bank codes in the texts."""
+    texts = _texts(spark, sf_dir).select("blob_id", F.col("text").alias("body"))
+    return find_candidates(texts, "body", None, ScanConfig(only=frozenset({"SWIFT/BIC"}))).select("blob_id", "value", "score")
+
+
+def scan_addresses_of_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail addresses in texts and cells that belong to people, or may."""
+    texts = _texts(spark, sf_dir).select(F.lit("blob").alias("src"), F.col("blob_id").alias("row_id"), F.lit("").alias("field"), F.col("text").alias("body"))
+    cells = _cells(spark, sf_dir).select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.coalesce("cell_key", F.lit("")).alias("field"), F.col("cell_value").alias("body"))
+    hits = find_candidates(texts.unionByName(cells), "body", "field", ScanConfig(only=frozenset({"Email"}), decode_base64=False))
+    return hits.select("src", "row_id", "value", (F.col("score") < 0.8).alias("no_person"))
+
+
 def place_in_unit(record_ix: Column, cell_ix: Column, hit_ix: Column) -> Column:
     """Order of a hit in its unit: record, cell, hit. Any long and two ints fit without sharing digits."""
     whole = "decimal(38,0)"
@@ -191,7 +228,7 @@ def classify_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     customer_cells, flatten_json_props, card_luhn_iin, ipv4_public_private, email_reason, phone_intl_candidates, token_assignment, entropy_of_tokens, key_assignments, opaque_entropy,
     fingerprint_values, luhn_validator, iban_mod97, aba_checksum, verhoeff, filler_numbers, text_line_locator, healthcare_keywords, field_words,
-    scan_cells, scan_texts, classify_cells,
+    scan_cells, scan_texts, scan_name_fields, scan_social_numbers, scan_checked_numbers, scan_bank_codes, scan_addresses_of_mail, classify_cells,
 )}
 _T = "WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY loaded_at DESC) AS rn FROM text_blobs) WHERE rn = 1 AND text IS NOT NULL) "
 _C = "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND cell_value <> '') "
@@ -211,6 +248,26 @@ _NUMBERS = """, n AS (SELECT DISTINCT upper(regexp_replace(v, '[^0-9A-Za-z]', ''
     UNION ALL SELECT cell_value FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND cell_value <> '')
     WHERE length(regexp_replace(v, '[^0-9A-Za-z]', '', 'g')) BETWEEN 6 AND 34) """
 _DEMO = " OR ".join(f"ends_with(dom, '{e}')" for e in DEMO_ENDINGS) + " OR dom IN (" + ", ".join(f"'{x}'" for x in sorted(DEMO_DOMAINS)) + ")"
+_KEYS = "SELECT DISTINCT coalesce(cell_key, '') AS name FROM cells"
+_CELLS_NAMED = words_of(_KEYS) + described(HINTS) + """, c AS (SELECT cell_id, coalesce(cell_key, '') AS name, cell_value AS v FROM
+    (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND cell_value <> ''),
+    n AS (SELECT c.*, words, kind, counter FROM c JOIN words USING (name) JOIN kinds USING (name))"""
+# a number that fields of identifiers and counters keep from being reported, one repeated or running, and one that is a time
+_PLAIN = "regexp_full_match(value, '[A-Za-z0-9]{1,16}|[0-9][0-9 .-]{4,20}[0-9]')"
+_LINE = "regexp_replace(value, '[^0-9]', '', 'g')"
+_FILLER = f"""(len(list_filter(regexp_split_to_array(value, '[^0-9]+'), lambda g: g <> '' AND replace(g, g[1], '') <> '')) = 0 OR contains('01234567890123456789', {_LINE}) OR contains('98765432109876543210', {_LINE}))"""
+_TIME = "(regexp_full_match(value, '[0-9]{10}') AND TRY_CAST(value AS BIGINT) BETWEEN 1300000000 AND 2200000000)"
+_FOUR = "|".join(c + "{4}" for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+
+
+def _digit_sum(weights: list[int], line: str = _LINE) -> str:
+    return "(" + " + ".join(f"{w} * substr({line}, {i + 1}, 1)::INT" for i, w in enumerate(weights) if w) + ")"
+
+
 _WORD_COUNT = " + ".join(f"regexp_matches(' ' || lower(text) || ' ', '[^a-z0-9_]{w}[^a-z0-9_]')::INT" for w in HEALTH_WORDS)
 ORACLES = {
     "customer_cells": """SELECT 'c_name' AS "column", count(*) AS cells, count(DISTINCT c_name) AS distinct_values FROM customer WHERE c_name <> ''
@@ -259,6 +316,45 @@ ORACLES = {
         d AS (SELECT DISTINCT value, regexp_replace(value, '[^0-9]', '', 'g') AS line, list_filter(regexp_split_to_array(value, '[^0-9]+'), lambda g: g <> '') AS groups FROM r)
         SELECT value, length(line) >= 6 AND (len(list_filter(groups, lambda g: replace(g, g[1], '') <> '')) = 0 OR contains('01234567890123456789', line) OR contains('98765432109876543210', line)) AS filler,
           regexp_full_match(value, '[0-9]{10}|[0-9]{13}') AND coalesce(TRY_CAST(value[1:10] AS BIGINT) BETWEEN 1300000000 AND 2200000000, false) AS epoch FROM d""",
+    "scan_name_fields": _CELLS_NAMED + f""", p AS (SELECT cell_id, regexp_replace(v, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS value, words, list_filter(regexp_split_to_array(v, '[\\s\\p{{Z}}]+'), lambda x: x <> '') AS parts
+          FROM n JOIN hinted h ON h.name = n.name AND h.detector = 'PII.PersonName' WHERE kind IS DISTINCT FROM 'credential')
+        SELECT cell_id, value, 0.85::DOUBLE AS score FROM p WHERE len(parts) BETWEEN 1 AND 4 AND length(value) <= 80 AND length(parts[1]) >= 2
+          AND len(list_filter(parts, lambda x: NOT regexp_full_match(x, '[\\p{{L}}\\p{{Nl}}\\p{{No}}](?:[\\p{{L}}\\p{{Nl}}\\p{{No}}]|[''’.-]){{0,30}}'))) = 0
+          AND len(list_filter(parts, lambda x: regexp_matches(x, '[aeiouyAEIOUY]|[^\\x00-\\x7f]'))) > 0 AND lower(value) NOT IN ({_quoted(NOBODY)})
+          AND rtrim(lower(parts[len(parts)]), '.') NOT IN ({_quoted(ORGANISATION_ENDS)}) AND NOT regexp_matches(lower(value), '{_FOUR}')
+          AND (len(parts) > 1 OR len(list_filter(string_split(words, ' '), lambda w: w IN ({_quoted(SINGLE)}))) > 0)""",
+    "scan_social_numbers": _CELLS_NAMED + f""", k AS (SELECT *, regexp_matches(lower(name), '(^|[^a-z])ssns?([^a-z]|$)|social_?security|social_?sec([^a-z]|$)|(^|[^a-z])ss_?(num|no|number)([^a-z]|$)') AS hint,
+          regexp_matches(' ' || words || ' ', ' (social|security|ssn|ssns|ssid) ') AS told FROM n),
+        f AS (SELECT *, unnest(regexp_extract_all(v, '\\b[0-9]{{3}}[- .][0-9]{{2}}[- .][0-9]{{4}}\\b')) AS value, 0.5 AS base FROM k
+          UNION ALL SELECT *, unnest(regexp_extract_all(v, '\\b(?:[0-9]{{5}}-[0-9]{{4}}|[0-9]{{3}}-[0-9]{{6}}|[0-9]{{9}})\\b')), 0.05 FROM k),
+        g AS (SELECT *, greatest(CASE WHEN hint THEN 0.85 ELSE 0 END, CASE WHEN told THEN greatest(base + 0.35, 0.4) ELSE base END) AS score, regexp_replace(value, '[0-9]', '', 'g') AS seps, {_LINE} AS line FROM f)
+        SELECT cell_id, value, score::DOUBLE AS score FROM g WHERE score >= 0.5 AND (seps = '' OR replace(seps, seps[1], '') = '') AND replace(line, line[1], '') <> '' AND line[4:5] <> '00' AND line[6:] <> '0000'
+          AND line[1:3] NOT IN ('000', '666') AND line NOT IN ('123456789', '987654320', '078051120') AND NOT {_FILLER} AND (hint OR NOT (kind IS NOT DISTINCT FROM 'identifier' OR counter))""",
+    "scan_checked_numbers": _CELLS_NAMED + f""", f AS (SELECT *, 'UK_NHS' AS detector, unnest(regexp_extract_all(v, '\\b[0-9]{{3}}[- ]?[0-9]{{3}}[- ]?[0-9]{{4}}\\b')) AS value FROM n
+          UNION ALL SELECT *, 'US_NPI', unnest(regexp_extract_all(v, '\\b(?:[12][0-9]{{9}}|[12][0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{3}})\\b')) FROM n
+          UNION ALL SELECT *, 'GB_UTR', unnest(regexp_extract_all(v, '\\b[0-9]{{5}}\\s?[0-9]{{5}}\\b')) FROM n),
+        ok AS (SELECT *, CASE detector WHEN 'UK_NHS' THEN {_digit_sum(list(range(10, 0, -1)))} % 11 = 0
+            WHEN 'GB_UTR' THEN [2, 1, 9, 8, 7, 6, 5, 4, 3, 2, 1][{_digit_sum([0, 6, 7, 8, 9, 10, 5, 4, 3, 2])} % 11 + 1] = substr({_LINE}, 1, 1)::INT
+            ELSE {_LUHN.format("('80840' || " + _LINE + ")")} END AS holds,
+          CASE detector WHEN 'UK_NHS' THEN '(^|[^a-z])nhs([^a-z]|$)|nhs_?(num|no|id)' WHEN 'US_NPI' THEN '(^|[^a-z])npi([^a-z]|$)|national_?provider' ELSE '(^|[^a-z])utr([^a-z]|$)|taxpayer_?ref' END AS hint FROM f),
+        s AS (SELECT *, regexp_matches(lower(name), hint) AS hinted FROM ok WHERE holds OR detector = 'GB_UTR'),
+        t AS (SELECT cell_id, detector, value, CASE WHEN hinted THEN CASE WHEN holds THEN 1.0 ELSE 0.85 END WHEN holds THEN 0.75 ELSE 0.05 END AS score FROM s
+          WHERE (hinted OR NOT ({_PLAIN} AND (kind IS NOT DISTINCT FROM 'identifier' OR counter))) AND NOT ({_TIME} AND NOT (holds AND hinted)) AND (detector <> 'GB_UTR' OR NOT {_FILLER}))
+        SELECT cell_id, detector, value, score::DOUBLE AS score FROM t WHERE score >= 0.5
+          AND NOT (detector <> 'GB_UTR' AND EXISTS (SELECT 1 FROM t o WHERE o.cell_id = t.cell_id AND o.detector = 'GB_UTR' AND o.score >= 0.5 AND o.value = t.value))""",
+    "scan_bank_codes": _T + f""", f AS (SELECT blob_id, text, unnest(regexp_extract_all(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?:^|[^\\p{{L}}\\p{{N}}_])([A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?)(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS value FROM t),
+        w AS (SELECT *, lower(text[greatest(1, instr(text, value) - 40):instr(text, value) + length(value) + 9]) AS beside,
+            lower(text[greatest(1, instr(text, value) - 120):instr(text, value) + length(value) + 59]) AS around FROM f WHERE value[5:6] IN ({_quoted(COUNTRIES)}) AND value NOT IN ({_quoted(NO_BANK_CODE)}))
+        SELECT blob_id, value, CASE WHEN regexp_matches(beside, '(^|[^a-z0-9_])(swift|bic|bank identifier)')
+          OR (regexp_matches(value, '[0-9]') AND regexp_matches(around, '(^|[^a-z0-9_])(swift|bic|iban|bank identifier|bank code)')) THEN 0.85 ELSE 0.5 END::DOUBLE AS score FROM w""",
+    "scan_addresses_of_mail": _T + f""", r AS (SELECT 'blob' AS src, blob_id AS row_id, text AS body FROM t UNION ALL SELECT 'cell', cell_id, cell_value FROM
+          (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND cell_value <> ''),
+        f AS (SELECT src, row_id, ltrim(unnest(regexp_extract_all(body, '([.A-Za-z0-9!#$%&''*+/=?^_`{{|}}~-]{{1,64}}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\\.)+[A-Za-z]{{2,24}})(?:$|[^A-Za-z0-9])', 1)), '.') AS value FROM r WHERE contains(body, '@')),
+        e AS (SELECT *, regexp_extract(value, '^(.*)@[^@]*$', 1) AS local, lower(regexp_extract(value, '@([^@]*)$', 1)) AS dom FROM f)
+        SELECT src, row_id, value, lower(local) IN ({_quoted(ROLES)}) OR regexp_matches(lower(local), '^(?:{"|".join(x.replace("+", "[+]") for x in ROLE_OPENINGS)})|(-bot|\\[bot\\])$')
+            OR (length(local) >= 20 AND regexp_full_match(local, '[A-Za-z0-9_+=-]+') AND regexp_matches(local, '[0-9]') AND lower(local) <> local) AS no_person
+        FROM e WHERE local <> '' AND NOT ({_DEMO}) AND len(list_filter(string_split(dom, '.')[:-2], lambda x: regexp_full_match(x, '[0-9-]+'))) = 0
+          AND regexp_matches(local, '[A-Za-z]') AND NOT contains(local, '..') AND NOT ends_with(local, '.')""",
     "field_words": words_of("SELECT DISTINCT cell_key AS name FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND cell_value <> '' AND cell_key IS NOT NULL")
         + described(HINTS) + f""", ranks(detector, r) AS (VALUES {', '.join(f"('{d}', {i})" for i, d in enumerate(HINTS))}), h AS (SELECT name, string_agg(detector, ',' ORDER BY r) AS hints FROM hinted JOIN ranks USING (detector) GROUP BY name)
         SELECT name AS "column", words, kind, counter, coalesce(hints, '') AS hints FROM words JOIN kinds USING (name) LEFT JOIN h USING (name)""",

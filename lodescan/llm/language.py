@@ -131,17 +131,22 @@ class Profiles:
         A text's length is taken from its triples' counts: vectors of different triples are
         orthogonal but for chance, so that the squares of the counts add up.
         """
-        parts = [triples(t) for t in texts]
         out = np.zeros((len(texts), self.unit.shape[0]), dtype=np.float32)
-        lengths = np.asarray([len(p) for p in parts], dtype=np.int64)
-        if not lengths.sum():
+        sizes = np.asarray([len(t) + 2 for t in texts], dtype=np.int64)
+        codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        if len(codes) < 3:
             return out
-        keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        # triples within one text
+        inner = np.flatnonzero(owner[:-2] == owner[2:])
+        if not len(inner):
+            return out
+        keys, inverse = np.unique(codes[inner] << 42 | codes[inner + 1] << 21 | codes[inner + 2], return_inverse=True)
         rows = self._rows(keys)
         # one number for each (text, triple), in order of the texts
-        pairs, counts = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(keys) + inverse, return_counts=True)
+        pairs, counts = np.unique(owner[inner] * len(keys) + inverse, return_counts=True)
         owner, weight = pairs // len(keys), counts.astype(np.float32)
-        some = np.flatnonzero(lengths)
+        some = np.flatnonzero(np.bincount(owner, minlength=len(texts)))
         first = np.searchsorted(owner, some)
         sums = np.add.reduceat(weight[:, None] * self.dots[rows[pairs % len(keys)]], first, axis=0)
         out[some] = sums / np.sqrt(DIMENSIONS * np.add.reduceat(weight * weight, first))[:, None]
@@ -161,6 +166,10 @@ def prices(unit: np.ndarray) -> np.ndarray:
 def best_path(scores: np.ndarray, change: float | np.ndarray = CHANGE) -> np.ndarray:
     """Language of each sentence: greatest sum of scores less ``change`` (one price, or one per pair) for every switch."""
     n, k = scores.shape
+    best = scores.argmax(axis=1)
+    if (best == best[0]).all():
+        # nothing to gain from a change
+        return best
     price = np.broadcast_to(np.asarray(change, dtype=np.float64), (k, k))
     back = np.zeros((n, k), dtype=np.int64)
     total = scores[0].astype(np.float64)
@@ -193,9 +202,19 @@ def without_lone(path: np.ndarray, scores: np.ndarray) -> np.ndarray:
 def stretches(text: str, profiles: Profiles) -> list[tuple[int, int, int, str, float]]:
     """(seg_ix, start, end, language, confidence) of the stretches of a text, in reading order."""
     found = sentences(text) if text else []
-    if not found:
-        return []
-    cos = profiles.cosines([s[2] for s in found])
+    return _parted(found, profiles.cosines([s[2] for s in found]), profiles) if found else []
+
+
+def stretches_of(texts: list[str | None], profiles: Profiles) -> Iterator[list[tuple[int, int, int, str, float]]]:
+    """The stretches of each of several texts, whose sentences are compared with the languages at once."""
+    found = [sentences(t) if t else [] for t in texts]
+    cosines, at = profiles.cosines([s[2] for some in found for s in some]), 0
+    for some in found:
+        yield _parted(some, cosines[at:at + len(some)], profiles) if some else []
+        at += len(some)
+
+
+def _parted(found: list[tuple[int, int, str]], cos: np.ndarray, profiles: Profiles) -> list[tuple[int, int, int, str, float]]:
     scores = SHARPNESS * cos
     path = without_lone(best_path(scores, profiles.price), scores)
     out, first = [], 0
@@ -215,6 +234,8 @@ def trained() -> np.ndarray:
     return np.load(io.BytesIO(pkgutil.get_data("lodescan.llm", MODEL)))
 
 
+#: characters of texts that are compared at once
+BATCH_CHARS = 300_000
 _SEGMENT = "array<struct<seg_ix:int,start_ix:int,end_ix:int,lang_code:string,confidence:double>>"
 
 
@@ -224,7 +245,14 @@ def _segmenter():
         profiles = Profiles(trained())
         names = ("seg_ix", "start_ix", "end_ix", "lang_code", "confidence")
         for texts in batches:
-            yield texts.map(lambda t: [dict(zip(names, s)) for s in stretches(t, profiles)])
+            out, some, size = [], [], 0
+            for t in [*texts, None]:
+                some.append(t)
+                size += len(t or "")
+                if size > BATCH_CHARS or len(out) + len(some) > len(texts):
+                    out += [[dict(zip(names, s)) for s in found] for found in stretches_of(some, profiles)]
+                    some, size = [], 0
+            yield pd.Series(out[:len(texts)], dtype="object")
 
     # else the optimizer would compute it once for each place it is used in
     return segment.asNondeterministic()

@@ -129,3 +129,10 @@ def json_tables(df: DataFrame, keys: list[str], json_col: str) -> dict[str, Data
         "objects": nodes.where(F.col("kind") == OBJECT).select(*link),
         "json_values": nodes.where(F.col("kind") != OBJECT).select(*link, "kind", "value"),
     }
+
+
+def unreadable(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
+    """``keys`` and ``error`` of the payloads that ``flatten_json`` gives no rows for because they cannot be read: broken ones, and ones that
+    repeat a member name within an object. Null payloads are none."""
+    broken = df.where(F.col(f"`{json_col}`").isNotNull() & F.try_parse_json(F.col(f"`{json_col}`")).isNull())
+    return broken.select(*[F.col(f"`{k}`").alias(k) for k in keys], F.lit("no readable JSON").alias("error"))

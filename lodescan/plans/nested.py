@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodescan.operators.nested import flatten_json, json_tables
+from lodescan.operators.nested import NUMBER, STRING, flatten_json, json_tables, unreadable
 from lodescan.runtime import latest, table
 
 
@@ -29,6 +29,12 @@ def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_tables(_documents(spark, sf_dir), ["case_id"], "documents_json")["json_values"]
 
 
+def p1_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with payloads that cannot be read, with the error and the number of such deliveries."""
+    rows = unreadable(table(spark, sf_dir, "false_alarm_cases"), ["case_id"], "documents_json")
+    return rows.groupBy("case_id", "error").agg(F.count("*").alias("deliveries"))
+
+
 _TREE = """
 WITH RECURSIVE one AS (
   SELECT case_id, documents_json AS doc
@@ -56,8 +62,11 @@ WITH RECURSIVE one AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_objects": p1_objects, "p1_values": p1_values}
+QUERIES = {"p1_found": p1_found, "p1_objects": p1_objects, "p1_values": p1_values, "p1_unreadable": p1_unreadable}
 ORACLES = {
     "p1_found": _TREE + "SELECT case_id, record_ix, node_path, parent_path, node_key FROM rows_out",
+    "p1_values": _TREE + f"""SELECT case_id, record_ix, node_path, parent_path, node_key, CASE WHEN kind = 'VARCHAR' THEN '{STRING}' ELSE '{NUMBER}' END AS kind,
+        json_extract_string(v, '$') AS value FROM rows_out WHERE kind <> 'OBJECT'""",
+    "p1_unreadable": "SELECT case_id, 'no readable JSON' AS error, count(*) AS deliveries FROM false_alarm_cases WHERE documents_json IS NOT NULL AND NOT json_valid(documents_json) GROUP BY case_id",
     "p1_objects": _TREE + "SELECT case_id, record_ix, node_path, parent_path, node_key FROM rows_out WHERE kind = 'OBJECT'",
 }

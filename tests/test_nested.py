@@ -83,3 +83,10 @@ tree = st.recursive(leaf, lambda c: st.one_of(st.lists(c, max_size=3), st.dictio
 @given(doc=st.lists(st.dictionaries(st.text(alphabet="xyz", min_size=1, max_size=2), tree, max_size=3), max_size=3))
 def test_any_document(spark, doc):
     assert paths(rows(spark, json.dumps(doc))) == brute(doc)
+
+
+def test_unreadable_payloads_are_error_rows(spark):
+    from lodescan.operators.nested import unreadable
+
+    df = spark.createDataFrame([(1, "{"), (2, '{"a": 1}'), (3, None), (4, '{"a": 1, "a": 2}'), (5, "")], "i int, j string")
+    assert sorted(r.i for r in unreadable(df, ["i"], "j").collect()) == [1, 4, 5]

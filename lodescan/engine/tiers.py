@@ -52,4 +52,5 @@ def rank_name(rank: Column) -> Column:
 
 
 def raised(rank: Column, steps: int = 1) -> Column:
-    return F.least(rank + steps, F.lit(2))
+    """A rank so many steps up; no rank stays none."""
+    return F.when(rank.isNotNull(), F.least(rank + steps, F.lit(2)))

@@ -135,6 +135,14 @@ def test_allowed_values_overrides_and_unit_names(spark):
     assert ops.classify(low, sampled(spark, c=100), fields, threshold=0, unit_hints=hints).count() == 2 and ops.classify(low, sampled(spark, c=100), fields, threshold=0).count() == 0
 
 
+def test_siblings_do_not_classify_a_column(spark):
+    """Two matches are too few for a verdict, whatever stands beside them."""
+    rows = frame(spark, [row(i, "a.ssn", "US SSN", "Regional", f"v{i}", 1) for i in range(2)])
+    v = ops.column_verdicts(ops.column_profiles(rows), spark.createDataFrame([("u", "a.ssn", 2)], "unit_id string, column string, sampled long"))
+    beside = spark.createDataFrame([("u", "a.ssn", "US SSN", ["a.full_name"])], "unit_id string, column string, detector string, siblings array<string>")
+    assert {(r.tier, tuple(r.evidence)) for r in ops.promoted_by_columns(rows, v, beside).collect()} == {(1, ())}
+
+
 def test_empty_candidates(spark):
     fields = spark.createDataFrame([], "unit_id string, column string, words string, hints array<string>")
     assert ops.classify(frame(spark, []), sampled(spark, x=1), fields).count() == 0

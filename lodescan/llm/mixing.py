@@ -23,6 +23,8 @@ from lodescan.runtime import checkpointed, table_bytes
 
 #: documents of a key range, by which prefix sums are taken
 RANGE_DOCS = 1000
+#: words in a row among which quality counts the different ones
+STRETCH_WORDS = 50
 
 
 def uniform(*parts: Column, seed: int) -> Column:
@@ -32,13 +34,24 @@ def uniform(*parts: Column, seed: int) -> Column:
 
 def quality(text: Column) -> Column:
     """How much a text reads like prose, 0.05 to 1: the share of letters and blanks, times the share of different lines and of different
-    words (long texts repeat words by nature: of as many as fifty), so that logs, tables and repetition weigh less."""
+    words, so that logs, tables and repetition weigh less. All of the text counts. Long texts repeat words by nature, so words are compared
+    within each stretch of fifty and the stretches added up; what repeats farther apart lowers the share of lines only."""
     plain = F.try_divide(F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")), F.length(text))
-    lines, words = F.split(text, r"\n"), F.slice(F.split(F.lower(F.trim(text)), r"\s+"), 1, 50)
-    different = F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)) * F.try_divide(F.size(F.array_distinct(words)), F.size(words))
+    lines, words = F.split(text, r"\n"), F.split(F.lower(F.trim(text)), r"\s+")
+    different = F.try_divide(F.size(F.array_distinct(lines)), F.size(lines)) * _different_words(words)
     return F.greatest(F.coalesce(plain * different, F.lit(0.0)), F.lit(0.05))
 
 
+def _different_words(words: Column) -> Column:
+    """Share of different words, counted by stretches."""
+
+    def share(ws: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.array_size(ws), F.lit(STRETCH_WORDS))
+        return F.try_divide(F.aggregate(starts, F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice(ws, at, STRETCH_WORDS)))), F.size(ws))
+
+    return F.transform(F.array(words), share)[0]  # as an element the text is split once, not for each use
+
+
 def source_key(source: Column) -> Column:
     return F.lower(F.trim(source))
 

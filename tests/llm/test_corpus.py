@@ -109,6 +109,24 @@ def test_quality(spark, text, least, most):
     assert least <= q <= most
 
 
+def word(i: int) -> str:
+    return "".join(chr(97 + int(d)) for d in f"{i:05d}")
+
+
+def test_quality_takes_the_whole_text(spark):
+    many, same = [word(i) for i in range(5000)], ["the"] * 5000
+    rng = np.random.default_rng(5)
+    texts = [" ".join(w) for w in (many[:50] + same, same[:50] + many, many)]
+    texts += [" ".join(word(i) for i in rng.zipf(1.3, n) % 3000) for n in (1, 2, 49, 50, 51, 99, 100, 101, 2500, 30_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", M.quality(F.col("t")).alias("q")).collect()
+    got = {r.i: r.q for r in rows}
+    assert got[0] == 0.05 and got[1] > 0.98 and got[2] == 1
+    for i, text in enumerate(texts):
+        words = text.split()
+        share = sum(len(set(words[at:at + 50])) for at in range(0, len(words), 50)) / len(words)
+        assert got[i] == pytest.approx(max(share, 0.05))
+
+
 def test_budget_is_filled_from_documents_far_behind_its_end(spark):
     """However small the ranges, the same documents are taken as in one pass over all in key order."""
     docs = spark.createDataFrame([(i, "a", 10 if i % 20 == 0 else 1000, 1.0) for i in range(3000)] + [(10_000 + i, "b", 7, 1.0) for i in range(300)], "doc_id long, source string, tokens long, weight double")
